@@ -253,49 +253,33 @@ def output_columns(alias: str, name: str) -> list[str]:
     return [f"{alias}_{f}" for f in fields] if fields else [alias]
 
 
-def _fold(rows: Column, spec: Ewm) -> Column:
-    """Array of smoothed values for the date-sorted array ``rows`` of bar structs.
+def _fold(column: str, spec: Ewm) -> str:
+    """SQL expression: smoothed values of ``_rows``, the date-sorted array of bar structs.
 
     The state keeps the mean, the weight it still carries (an unknown value repeats the mean
-    but lets its weight decay) and the number of known values.
+    but lets its weight decay) and the number of known values.  Values are appended to an
+    array of at most ``_CHUNK`` elements; a full one is put aside whole.  A one-element
+    ``transform`` binds a new state once where it is used twice.
     """
-    q, alpha = F.lit(1.0 - spec.alpha), F.lit(spec.alpha)
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"),
-                     F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
-
-    def advance(acc: Column, x: Column) -> Column:
-        carried = acc["w"] * q
-        y = F.when(x.isNull(), acc["y"]).when(acc["y"].isNull(), x).otherwise(
-            (carried * acc["y"] + alpha * x) / (carried + alpha))
-        w = F.when(x.isNull() & acc["y"].isNotNull(), carried).otherwise(F.lit(1.0))
-        n = acc["n"] + F.when(x.isNull(), 0).otherwise(1)
-        return F.struct(y.alias("y"), w.alias("w"), n.alias("n"), acc["out"].alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        # a one-element transform binds the new state once; it is used twice below
-        def emit(s: Column) -> Column:
-            shown = F.when(s["n"] >= spec.min_periods, s["y"])
-            return F.struct(s["y"].alias("y"), s["w"].alias("w"), s["n"].alias("n"),
-                            F.concat(s["out"], F.array(shown)).alias("out"))
-
-        return F.transform(F.array(advance(acc, row[spec.column])), emit)[0]
-
-    outer = F.struct(start.alias("s"), F.array().cast("array<array<double>>").alias("done"))
-
-    def chunk(acc: Column, first: Column) -> Column:
-        part = F.slice(rows, first, _CHUNK)
-        run = F.aggregate(part, acc["s"], step)
-
-        def close(s: Column) -> Column:
-            fresh = F.struct(s["y"].alias("y"), s["w"].alias("w"), s["n"].alias("n"),
-                             F.array().cast("array<double>").alias("out"))
-            return F.struct(fresh.alias("s"),
-                            F.concat(acc["done"], F.array(s["out"])).alias("done"))
-
-        return F.transform(F.array(run), close)[0]
-
-    firsts = F.sequence(F.lit(1), F.size(rows), F.lit(_CHUNK))
-    return F.flatten(F.aggregate(firsts, outer, chunk, lambda acc: acc["done"]))
+    q, alpha = f"{1.0 - spec.alpha!r}D", f"{spec.alpha!r}D"
+    x = f"x.`{column}`"
+    advance = f"""named_struct(
+        'y', CASE WHEN {x} IS NULL THEN s.y WHEN s.y IS NULL THEN {x}
+                  ELSE (s.w * {q} * s.y + {alpha} * {x}) / (s.w * {q} + {alpha}) END,
+        'w', CASE WHEN {x} IS NULL AND s.y IS NOT NULL THEN s.w * {q} ELSE 1D END,
+        'n', s.n + IF({x} IS NULL, 0, 1))"""
+    shown = f"IF(t.n >= {spec.min_periods}, t.y, NULL)"
+    step = f"""transform(array({advance}), t -> named_struct(
+        'y', t.y, 'w', t.w, 'n', t.n, 'out', concat(s.out, array({shown}))))[0]"""
+    start = """named_struct('y', CAST(NULL AS DOUBLE), 'w', 1D, 'n', 0,
+        'out', CAST(array() AS ARRAY<DOUBLE>))"""
+    run = f"aggregate(slice(_rows, first, {_CHUNK}), acc.s, (s, x) -> {step})"
+    close = """named_struct('s', named_struct('y', r.y, 'w', r.w, 'n', r.n,
+        'out', CAST(array() AS ARRAY<DOUBLE>)), 'done', concat(acc.done, array(r.out)))"""
+    return f"""flatten(aggregate(sequence(1, size(_rows), {_CHUNK}),
+        named_struct('s', {start}, 'done', CAST(array() AS ARRAY<ARRAY<DOUBLE>>)),
+        (acc, first) -> transform(array({run}), r -> {close})[0],
+        acc -> acc.done))"""
 
 
 def with_ewm(bars: DataFrame, specs: dict[str, Ewm]) -> DataFrame:
@@ -307,13 +291,11 @@ def with_ewm(bars: DataFrame, specs: dict[str, Ewm]) -> DataFrame:
     rest = [c for c in bars.columns if c not in ("code", "date")]
     packed = bars.groupBy("code").agg(
         F.sort_array(F.collect_list(F.struct("date", *rest))).alias("_rows"))
-    folded = packed.select("code", "_rows", *[_fold(F.col("_rows"), s).alias(f"_y_{name}")
-                                              for name, s in specs.items()])
-    pairs = folded.select("code", F.explode(F.arrays_zip(
-        "_rows", *[f"_y_{n}" for n in specs])).alias("_z"))
-    return pairs.select("code", F.col("_z._rows.date").alias("date"),
-                        *[F.col(f"_z._rows.{c}").alias(c) for c in rest],
-                        *[F.col(f"_z._y_{n}").alias(n) for n in specs])
+    folded = packed.selectExpr("code", "_rows", *[f"{_fold(s.column, s)} AS `{name}`"
+                                                  for name, s in specs.items()])
+    names = ", ".join(f"`{n}`" for n in specs)
+    pairs = folded.selectExpr("code", f"explode(arrays_zip(_rows, {names})) AS _z")
+    return pairs.selectExpr("code", "_z._rows.*", *[f"_z.`{n}`" for n in specs])
 
 
 def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]]) -> DataFrame:

@@ -167,15 +167,23 @@ def f12(spark, sf):
 _VWAP = "sum((high + low + close) / 3 * volume) OVER {w} / nullif(sum(volume) OVER {w}, 0)"
 
 
+def _vwap_gap(w: str) -> str:
+    return f"round((close / ({_VWAP.format(w=w)}) - 1) * 100, 6) + 0"
+
+
 @query("f13_vwap", f"""WITH $bars
-SELECT code, CAST(date AS VARCHAR) AS date, round({_VWAP.format(w='w')}, 6) AS vwap_all,
-       round({_VWAP.format(w='m')}, 6) AS vwap_month, round({_VWAP.format(w='k')}, 6) AS vwap_week
+SELECT code, CAST(date AS VARCHAR) AS date, {_vwap_gap('w')} AS gap_all,
+       {_vwap_gap('m')} AS gap_month, {_vwap_gap('k')} AS gap_week
 FROM bars {_W}, m AS (PARTITION BY code, date_trunc('month', date) ORDER BY date),
   k AS (PARTITION BY code, date_trunc('week', date) ORDER BY date)""")
 def f13(spark, sf):
-    return _indicators(spark, sf, {"vwap_all": ("VWAP", {}),
-                                   "vwap_month": ("VWAP", {"anchor": "month"}),
-                                   "vwap_week": ("VWAP", {"anchor": "week"})}, 6)
+    """Distance of the close from its volume-weighted price, percent, for three anchors."""
+    out = with_indicators(base.bars(spark, sf), {
+        "all": ("VWAP", {}), "month": ("VWAP", {"anchor": "month"}),
+        "week": ("VWAP", {"anchor": "week"})})
+    return out.select("code", "date", *[
+        F.round((F.try_divide(F.col("close"), F.col(a)) - 1) * 100, 6).alias(f"gap_{a}")
+        for a in ("all", "month", "week")])
 
 
 @query("f14_envelope", f"""WITH $bars, x AS (
