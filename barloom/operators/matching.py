@@ -9,12 +9,14 @@ later bars.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import symbol_window
 from ..functions.predicates import known, reference_gate
+from ..sources.staging import stage
 
 # Bars per block of the block-skipping search.
 BLOCK = 64
@@ -222,7 +224,7 @@ def ladder_fills(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame:
             "code", F.col("ref_idx").alias("probe"), F.lit("down").alias("kind"),
             level.alias("level"), F.col(f"idx{k - 1}").alias("start_idx"),
             F.lit(2 ** 31 - 1).alias("end_idx"), F.lit(None).cast("int").alias("peak_idx"))
-        hit = first_crossing(bars, probes).withColumn("idx", F.col("hit_idx")).withColumn(
+        hit = first_crossing(_sellable(bars, plan), probes).withColumn("idx", F.col("hit_idx")).withColumn(
             "date", F.col("hit_date"))
         hit = hit.withColumn("px", _entry_price(plan, F.col("target")))
         hit = hit.select("code", F.col("probe").alias("ref_idx"),
@@ -230,10 +232,15 @@ def ladder_fills(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame:
                          F.col("px").alias(f"px{k}"),
                          _quantity(plan, _paid(plan, F.col("px")), rule.size_pct).alias(f"qty{k}"))
         hit = hit.where((F.col(f"px{k}") > 0) & (F.col(f"qty{k}") > 0))
-        out = out.join(hit, ["code", "ref_idx"], "left")
+        out = stage(out.join(hit, ["code", "ref_idx"], "left"), f"fill{k}")
     return out
 
 
+def _sellable(bars: DataFrame, plan: Plan) -> DataFrame:
+    """Bars on which an order can be filled: an order for the next open needs one."""
+    return bars.where(F.col("next_open") > 0) if plan.fill == "next_open" else bars
+
+
 def _paid(plan: Plan, px: Column) -> Column:
     return px * (1.0 + plan.slippage)
 
@@ -280,7 +287,8 @@ def _per_rule(rules: list[tuple[int, Exit]], value) -> Column:
     return out
 
 
-def _condition_hits(bars: DataFrame, probes: DataFrame, rules: list[tuple[int, Exit]]) -> DataFrame:
+def _condition_hits(bars: DataFrame, probes: DataFrame, rules: list[tuple[int, Exit]],
+                    plan: Plan) -> DataFrame:
     """First live bar from the start bar on where a rule's flag holds.
 
     "Next true bar" is a running minimum over descending bars, so each probe needs one
@@ -294,6 +302,8 @@ def _condition_hits(bars: DataFrame, probes: DataFrame, rules: list[tuple[int, E
         bar = F.struct(F.col("idx").alias("hit_idx"), F.col("date").alias("hit_date"),
                        target.cast("double").alias("target"), *HIT_PRICES)
         live = known(F.col(rule.flag)) & ~F.col("halted")
+        if plan.fill == "next_open":
+            live = live & known(F.col("next_open") > 0)
         cols[f"next_{n}"] = F.min(F.when(live, bar)).over(down)
     nxt = bars.select("code", F.col("idx").alias("start_idx"),
                       *[c.alias(n) for n, c in cols.items()])
@@ -334,7 +344,7 @@ def exit_hits(bars: DataFrame, open_trades: DataFrame, plan: Plan) -> DataFrame:
                       F.col("seg_end").alias("end_idx"))]
     if not at_close and plan.same_day_exit != "never":
         spans.append(F.struct(F.lit(True).alias("same_day"), F.col("seg_start").alias("start_idx"),
-                              F.col("seg_start").alias("end_idx")))
+                              F.least("seg_start", "seg_end").alias("end_idx")))
     p = (open_trades.select("*", F.inline(F.array(*spans)))
          .withColumn("r", F.explode(F.array(*levels)))
          .where(~F.array_contains("done", F.col("r.rule")))
@@ -344,16 +354,22 @@ def exit_hits(bars: DataFrame, open_trades: DataFrame, plan: Plan) -> DataFrame:
     parts = []
     levelled = [(n, r) for n, r in rules if r.kind != "condition"]
     flagged = [(n, r) for n, r in rules if r.kind == "condition"]
-    if levelled:
-        q = p.where(F.col("kind") != "flag").withColumn(
-            "probe", F.struct("ref_idx", "rule", "same_day")).withColumn(
-            "peak_idx", F.when(F.col("kind") == "trail", F.col("entry_idx")))
-        parts.append(first_crossing(bars, q).select(
-            "code", "probe.*", "hit_idx", "hit_date", "target", *HIT_PRICES))
+    # trailing stops and time exits never wait for the next open
+    own_price = [n for n, r in levelled if r.kind in ("trailing_stop", "time_exit")]
+    priced = [n for n, _ in levelled if n not in own_price]
+    groups = ([(bars, own_price), (_sellable(bars, plan), priced)] if plan.fill == "next_open"
+              else [(bars, own_price + priced)])
+    for usable, numbers in groups:
+        if numbers:
+            q = p.where(F.col("rule").isin(numbers)).withColumn(
+                "probe", F.struct("ref_idx", "rule", "same_day")).withColumn(
+                "peak_idx", F.when(F.col("kind") == "trail", F.col("entry_idx")))
+            parts.append(first_crossing(usable, q).select(
+                "code", "probe.*", "hit_idx", "hit_date", "target", *HIT_PRICES))
     if flagged:
-        parts.append(_condition_hits(bars, p.where(F.col("kind") == "flag"), flagged).select(
+        parts.append(_condition_hits(bars, p.where(F.col("kind") == "flag"), flagged, plan).select(
             "code", "ref_idx", "rule", "same_day", "hit_idx", "hit_date", "target", *HIT_PRICES))
-    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    hits = reduce(DataFrame.unionByName, parts)
     price = _per_rule(rules, lambda r: _exit_price(plan, r))
     when = F.col("next_date") if plan.fill == "next_open" else F.col("hit_date")
     late = _per_rule(rules, lambda r: F.col("hit_date") if r.kind in ("time_exit", "trailing_stop")
@@ -422,6 +438,7 @@ def close_positions(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame
             "cost": F.coalesce(F.col("avg") * F.col("_r.qty"), F.lit(0.0)),
             "closed": F.col("closed") | (live & (F.col("_r.qty") == 0))}).drop("hits", "_r",
                                                                               "seg_no")
+        t = stage(t, f"segment{k}")
     # what is still open is closed at the symbol's last bar
     fills = sum((F.when(F.col(f"idx{k}").isNotNull(), 1).otherwise(0) for k in range(n)),
                 F.lit(0))
@@ -454,9 +471,11 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
 def match_trades(bars: DataFrame, plan: Plan) -> DataFrame:
     """Positions of every symbol: fills, sales and references, one row per position.
 
-    ``bars`` comes from :func:`index_bars` with an ``is_event`` flag.
+    ``bars`` comes from :func:`index_bars` with an ``is_event`` flag.  Bars, candidates and
+    each matched segment are written once, because several joins read them.
     """
-    cand = ladder_fills(bars, entry_candidates(bars, plan), plan)
+    bars = stage(bars, "bars")
+    cand = ladder_fills(bars, stage(entry_candidates(bars, plan), "candidates"), plan)
     return non_overlapping(close_positions(bars, cand, plan))
 
 
