@@ -123,13 +123,13 @@ def prepend_history(older: DataFrame, current: DataFrame) -> DataFrame:
     return kept.unionByName(current, allowMissingColumns=True)
 
 
-def holding_bars(bars: DataFrame, ledger: DataFrame) -> DataFrame:
+def holding_bars(bars: DataFrame, ledger: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Bars of every holding period, by unrolling each trade over the days it lasted.
 
     A trade is exploded over its own calendar days and joined on (code, date), so the rows
     between are exactly the output and no range join is planned.
     """
-    days = ledger.select("code", "group_id", "part", "entry_date", "exit_date", F.explode(
+    days = ledger.select("code", "group_id", "part", "entry_date", "exit_date", *carry, F.explode(
         F.sequence("entry_date", "exit_date")).alias("date"))
     return days.join(bars, ["code", "date"])
 

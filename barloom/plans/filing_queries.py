@@ -108,7 +108,7 @@ _ITEM_SQL = """SELECT code, year, quarter, 'CFS' AS fs_div,
        CAST(last_day(make_date(year, quarter * 3, 1)) + CASE WHEN quarter = 4 THEN 90 ELSE 45 END AS DATE)
          AS d, coalesce(cur_assets, -1) AS cur_assets, cur_liab, assets, liab, equity, revenue, op_income,
        net_income FROM fder
-WHERE corp_code <> '00000000'  -- an all-zero company code is no company"""
+WHERE corp_code <> '00000000' /* an all-zero company code is no company */"""
 
 
 @query("e20_pivot_items", f"""WITH $filings, x AS ({_ITEM_SQL})

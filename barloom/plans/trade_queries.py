@@ -70,9 +70,10 @@ def _ledger(spark, sf, plan: M.Plan, with_average: bool = False):
 def _shown(ledger):
     out = ledger.select(
         "code", "part", "ref_date", "entry_date", F.size("fills").alias("fills"), "qty",
-        "avg_price", "exit_date", "exit_price", "exit_rule", "hold_days", "return_pct", "pnl")
-    return rounded(rounded(rounded(rounded(out, 9, "avg_price"), 5, "exit_price"), 6, "return_pct"),
-                   2, "pnl")
+        (F.col("avg_price") * F.col("qty")).alias("cost"), "exit_date",
+        (F.col("exit_price") * F.col("qty")).alias("proceeds"), "exit_rule", "hold_days",
+        "return_pct", "pnl")
+    return rounded(rounded(out, 6, "return_pct"), 2, "cost", "proceeds", "pnl")
 
 
 _WATCH = """b AS (
@@ -171,8 +172,8 @@ ledger AS (
 
 _LEDGER_OUT = """
 SELECT code, part, CAST(ref_date AS VARCHAR) AS ref_date, CAST(date0 AS VARCHAR) AS entry_date,
-       fills, qty, round(avg, 9) AS avg_price, CAST(exit_date AS VARCHAR) AS exit_date,
-       round(exit_price, 5) AS exit_price, rule AS exit_rule,
+       fills, qty, round(avg * qty, 2) AS cost, CAST(exit_date AS VARCHAR) AS exit_date,
+       round(exit_price * qty, 2) AS proceeds, rule AS exit_rule,
        date_diff('day', date0, exit_date) AS hold_days, round(pnl / basis * 100, 6) AS return_pct,
        round(pnl, 2) AS pnl FROM ledger"""
 
