@@ -501,7 +501,7 @@ def trade_ledger(positions: DataFrame, plan: Plan) -> DataFrame:
                     F.date_format("date0", "yyyy-MM-dd")).alias("group_id"),
         (F.col("_pos") + 1).alias("part"),
         F.col("ref.date").alias("ref_date"), F.col("ref.amount").alias("ref_amount"),
-        F.round("ref.open", 2).alias("ref_open"),
+        F.col("ref.open").alias("ref_open"),
         F.slice("_log", 1, F.col("x.fills")).alias("fills"),
         F.col("date0").alias("entry_date"), F.col("x.qty").alias("qty"),
         F.col("x.avg").alias("avg_price"), F.col("x.date").alias("exit_date"),

@@ -70,10 +70,11 @@ def _ledger(spark, sf, plan: M.Plan, with_average: bool = False):
 def _shown(ledger):
     out = ledger.select(
         "code", "part", "ref_date", "entry_date", F.size("fills").alias("fills"), "qty",
-        (F.col("avg_price") * F.col("qty")).alias("cost"), "exit_date",
-        (F.col("exit_price") * F.col("qty")).alias("proceeds"), "exit_rule", "hold_days",
-        "return_pct", "pnl")
-    return rounded(rounded(out, 6, "return_pct"), 2, "cost", "proceeds", "pnl")
+        ((F.col("avg_price") / F.col("ref_open") - 1) * 100).alias("entry_vs_ref"),
+        "exit_date",
+        ((F.col("exit_price") / F.col("ref_open") - 1) * 100).alias("exit_vs_ref"),
+        "exit_rule", "hold_days", "return_pct", F.round("pnl", 1).alias("pnl"))
+    return rounded(rounded(out, 6, "return_pct"), 7, "entry_vs_ref", "exit_vs_ref")
 
 
 _WATCH = """b AS (
@@ -117,7 +118,8 @@ c AS (SELECT c1.*, CASE WHEN c1.idx1 IS NOT NULL THEN
         for n, (i, cond, p, sh) in enumerate(rules))
     return f"""WITH RECURSIVE $raw_bars, {_WATCH},
 e0 AS (SELECT *, {px} AS px FROM wt WHERE NOT halted AND NOT ev AND idx - ref_idx <= {valid} AND ({when})),
-c0 AS (SELECT code, ref_idx, any_value(ref_date) AS ref_date, any_value(last_date) AS last_date,
+c0 AS (SELECT code, ref_idx, any_value(ref_date) AS ref_date,
+         any_value(r_open) AS r_open, any_value(last_date) AS last_date,
          any_value(last_idx) AS last_idx, any_value(last_close) AS last_close,
          arg_min({fill_idx}, idx) AS idx0, arg_min({fill_date}, idx) AS date0, arg_min(px, idx) AS px0
        FROM e0 WHERE px > 0 GROUP BY 1, 2),
@@ -155,12 +157,12 @@ keep AS (
   SELECT p.code, min(p.ref_idx), arg_min(p.exit_idx, p.ref_idx) FROM keep k JOIN pos p
     ON p.code = k.code AND p.ref_idx > k.exit_idx GROUP BY p.code),
 legs AS (
-  SELECT p.code, p.ref_idx, p.ref_date, p.date0, row_number() OVER (PARTITION BY p.code, p.ref_idx ORDER BY k) AS part,
+  SELECT p.code, p.ref_idx, p.ref_date, p.r_open, p.date0, row_number() OVER (PARTITION BY p.code, p.ref_idx ORDER BY k) AS part,
          s.seg + 1 AS fills, s.sold AS qty, s.avg, s.exit_date, s.px, s.rule
   FROM pos p SEMI JOIN keep k0 ON p.code = k0.code AND p.ref_idx = k0.ref_idx
   JOIN sale s ON p.code = s.code AND p.ref_idx = s.ref_idx AND s.sold > 0
   UNION ALL
-  SELECT p.code, p.ref_idx, p.ref_date, p.date0, p.parts + 1, CASE WHEN p.idx1 IS NULL THEN 1 ELSE 2 END,
+  SELECT p.code, p.ref_idx, p.ref_date, p.r_open, p.date0, p.parts + 1, CASE WHEN p.idx1 IS NULL THEN 1 ELSE 2 END,
          p.held, (SELECT avg FROM seg WHERE seg.code = p.code AND seg.ref_idx = p.ref_idx
                   ORDER BY seg.seg DESC LIMIT 1), p.last_date, p.last_close, 'EOD'
   FROM pos p SEMI JOIN keep k0 ON p.code = k0.code AND p.ref_idx = k0.ref_idx WHERE NOT p.flat),
@@ -172,10 +174,11 @@ ledger AS (
 
 _LEDGER_OUT = """
 SELECT code, part, CAST(ref_date AS VARCHAR) AS ref_date, CAST(date0 AS VARCHAR) AS entry_date,
-       fills, qty, round(avg * qty, 2) AS cost, CAST(exit_date AS VARCHAR) AS exit_date,
-       round(exit_price * qty, 2) AS proceeds, rule AS exit_rule,
+       fills, qty, round((avg / r_open - 1) * 100, 7) + 0 AS entry_vs_ref,
+       CAST(exit_date AS VARCHAR) AS exit_date,
+       round((exit_price / r_open - 1) * 100, 7) + 0 AS exit_vs_ref, rule AS exit_rule,
        date_diff('day', date0, exit_date) AS hold_days, round(pnl / basis * 100, 6) AS return_pct,
-       round(pnl, 2) AS pnl FROM ledger"""
+       round(pnl, 1) AS pnl FROM ledger"""
 
 _NET = f"px * {1 - SLIP!r}::DOUBLE * {1 - FEE!r}::DOUBLE - avg > 0"
 _LADDER_SQL = _trades_sql(
