@@ -69,67 +69,82 @@ def _blocks(bars: DataFrame) -> DataFrame:
                     "date", *HIT_PRICES))
 
 
-def first_crossing(bars: DataFrame, probes: DataFrame) -> DataFrame:
+def first_crossing(bars: DataFrame, probes: DataFrame, trailing: bool = False) -> DataFrame:
     """First live bar in [start_idx, end_idx] where a price condition holds.
 
-    ``probes``: code, probe (unique within the code), kind, level, start_idx, end_idx and
-    peak_idx.  Kinds: ``up`` (high >= level), ``down`` (low <= level) and ``trail`` (low <=
-    level x highest high since ``peak_idx``).  Returns code, probe, hit_idx, level at the hit
-    and the prices of the hit bar; probes that never cross are absent.
-
-    The bars of a symbol are summarised in blocks of ``BLOCK`` (highest high, lowest low).  A
-    probe looks at block summaries first, finds the first block that certainly crosses, and
-    only opens the blocks up to it which may cross: the work per probe is bars/BLOCK plus a
-    few blocks, and the answer is exact without any horizon.
+    ``probes``: code, probe (unique within the code), kind, level, start_idx, end_idx and, for
+    ``trailing`` searches, peak_idx.  Kinds: ``up`` (high >= level), ``down`` (low <= level)
+    and ``trail`` (low <= level x highest high since ``peak_idx``).  Returns code, probe,
+    hit_idx, the level at the hit and the prices of the hit bar; probes that never cross are
+    absent.
+
+    The bars of a symbol are packed in blocks of ``BLOCK`` bars with their highest high and
+    lowest low.  A probe reads the block summaries of its symbol (one short array), picks the
+    start block and the first later block that certainly crosses, plus those between that may
+    cross, and searches only these.  Probes never meet all later bars as rows, and the answer
+    is exact without any horizon.
     """
     live = _blocks(bars)
-    sums = live.groupBy("code", "blk").agg(F.max("high").alias("hi"), F.min("low").alias("lo"))
-    p = probes.select(
-        "code", "probe", "kind", "level", "start_idx", "end_idx",
-        F.coalesce("peak_idx", "start_idx").alias("peak_idx")).where(
-        F.col("level").isNotNull() & (F.col("start_idx") <= F.col("end_idx"))).withColumns({
-            "first_blk": F.floor(F.col("peak_idx") / BLOCK).cast("int"),
-            "start_blk": F.floor(F.col("start_idx") / BLOCK).cast("int"),
-            "end_blk": F.floor(F.col("end_idx") / BLOCK).cast("int")})
-    # the highest high from the peak bar to the end of its block
-    to_end = Window.partitionBy("code", "blk").orderBy(F.desc("idx")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    suffix = live.select("code", F.col("idx").alias("peak_idx"),
-                         F.max("high").over(to_end).alias("peak_high"))
-    p = p.join(suffix, ["code", "peak_idx"], "left")
-    per_probe = Window.partitionBy("code", "probe")
-    pairs = p.join(sums, "code").where(
-        F.col("blk").between(F.col("first_blk"), F.col("end_blk")))
-    earlier = per_probe.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    block_peak = F.when(F.col("blk") == F.col("first_blk"), F.col("peak_high")).otherwise(
-        F.col("hi"))
-    pairs = pairs.withColumn("peak_before", F.max(block_peak).over(earlier))
-    stop_now = F.greatest("peak_before", "hi") * F.col("level")
-    may = (F.when(F.col("kind") == "up", F.col("hi") >= F.col("level"))
-           .when(F.col("kind") == "down", F.col("lo") <= F.col("level"))
-           .otherwise(F.col("lo") <= stop_now))
-    sure = (F.when(F.col("kind") == "up", F.col("hi") >= F.col("level"))
-            .when(F.col("kind") == "down", F.col("lo") <= F.col("level"))
-            .otherwise(F.col("lo") <= F.col("peak_before") * F.col("level")))
-    inner = (F.col("blk") > F.col("start_blk")) & (F.col("blk") < F.col("end_blk"))
-    pairs = (pairs.where((F.col("blk") >= F.col("start_blk")) & known(may))
-             .withColumn("stop_blk", F.min(F.when(inner & known(sure), F.col("blk")))
-                         .over(per_probe))
-             .where(F.col("blk") <= F.coalesce("stop_blk", "end_blk"))
-             .drop("hi", "lo", "peak_high", "stop_blk"))
-    opened = pairs.join(live, ["code", "blk"]).where(
-        F.col("idx").between(F.col("peak_idx"), F.col("end_idx")))
-    running = Window.partitionBy("code", "probe", "blk").orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, 0)
-    peak = F.greatest("peak_before", F.max("high").over(running))
-    opened = opened.withColumn("at", F.when(F.col("kind") == "trail", peak * F.col("level"))
-                               .otherwise(F.col("level")))
-    crossed = F.when(F.col("kind") == "up", F.col("high") >= F.col("at")).otherwise(
-        F.col("low") <= F.col("at"))
-    bar = F.struct(F.col("idx").alias("hit_idx"), F.col("date").alias("hit_date"),
-                   F.col("at").alias("target"), *HIT_PRICES)
-    hits = opened.where((F.col("idx") >= F.col("start_idx")) & crossed)
-    return (hits.groupBy("code", "probe").agg(F.min(bar).alias("hit"))
+    sums = (live.groupBy("code", "blk").agg(F.max("high").alias("hi"), F.min("low").alias("lo"))
+            .groupBy("code").agg(F.sort_array(F.collect_list(F.struct("blk", "hi", "lo")))
+                                 .alias("sums")))
+    packed = live.groupBy("code", "blk").agg(F.sort_array(F.collect_list(
+        F.struct("idx", "date", *HIT_PRICES))).alias("bars"))
+    p = probes.where(F.col("level").isNotNull() & (F.col("start_idx") <= F.col("end_idx")))
+    if trailing:
+        p = p.withColumn("peak_idx", F.coalesce("peak_idx", "start_idx"))
+        # the highest live high from the peak bar (which may be halted) to the end of its block
+        to_end = (Window.partitionBy("code", F.floor(F.col("idx") / BLOCK)).orderBy(F.desc("idx"))
+                  .rowsBetween(Window.unboundedPreceding, 0))
+        suffix = bars.select(
+            "code", F.col("idx").alias("peak_idx"),
+            F.max(F.when(~F.col("halted"), F.col("high"))).over(to_end).alias("peak_high"))
+        p = p.join(suffix, ["code", "peak_idx"], "left")
+    else:
+        p = p.drop("peak_idx").selectExpr("*", "start_idx AS peak_idx",
+                                          "CAST(NULL AS DOUBLE) AS peak_high")
+    p = p.selectExpr("code", "probe", "kind", "level", "start_idx", "end_idx", "peak_idx",
+                     "peak_high", f"CAST(peak_idx DIV {BLOCK} AS INT) AS peak_blk",
+                     f"CAST(start_idx DIV {BLOCK} AS INT) AS start_blk",
+                     f"CAST(end_idx DIV {BLOCK} AS INT) AS end_blk").join(sums, "code")
+    # a plain level: the start block, and the first later block that reaches it
+    plain = """transform(filter(sums, b -> b.blk BETWEEN start_blk AND end_blk
+        AND IF(kind = 'up', b.hi >= level, b.lo <= level)),
+        b -> named_struct('blk', b.blk, 'peak', CAST(NULL AS DOUBLE)))"""
+    plain = f"""slice({plain}, 1, 2)"""
+    # a trailing level: blocks that may cross, until one that certainly does
+    trail = """aggregate(sums, named_struct('peak', CAST(NULL AS DOUBLE), 'done', false,
+        'out', CAST(array() AS ARRAY<STRUCT<blk: INT, peak: DOUBLE>>)),
+        (a, b) -> IF(a.done OR b.blk < peak_blk OR b.blk > end_blk, a, named_struct(
+          'peak', greatest(a.peak, IF(b.blk = peak_blk, peak_high, b.hi)),
+          'done', coalesce(b.blk > start_blk AND b.blk < end_blk AND b.lo <= a.peak * level, false),
+          'out', IF(b.blk >= start_blk AND b.lo <= greatest(a.peak, b.hi) * level,
+                    concat(a.out, array(named_struct('blk', b.blk, 'peak', a.peak))), a.out))),
+        a -> a.out)"""
+    wanted = f"IF(kind = 'trail', {trail}, {plain})" if trailing else plain
+    opened = (p.withColumn("c", F.explode(F.expr(wanted)))
+              .select("code", "probe", "kind", "level", "start_idx", "end_idx", "peak_idx",
+                      F.col("c.blk").alias("blk"), F.col("c.peak").alias("peak"))
+              .join(packed, ["code", "blk"]))
+    prices = ", ".join(f"'{c}', b.{c}" for c in HIT_PRICES)
+    hit = f"named_struct('hit_idx', b.idx, 'hit_date', b.date, 'target', {{at}}, {prices})"
+    plain_hit = f"""transform(slice(filter(bars, b -> b.idx BETWEEN start_idx AND end_idx
+        AND IF(kind = 'up', b.high >= level, b.low <= level)), 1, 1),
+        b -> {hit.format(at='level')})"""
+    # the running peak counts from peak_idx on, hits from start_idx on
+    high = "greatest(a.peak, b.high)"
+    trail_hit = f"""aggregate(bars, named_struct('peak', peak, 'hit', {{none}}),
+        (a, b) -> IF(a.hit IS NOT NULL OR b.idx < peak_idx OR b.idx > end_idx, a, named_struct(
+          'peak', {high}, 'hit', IF(b.idx >= start_idx AND b.low <= {high} * level,
+                                    {hit.format(at=f'{high} * level')}, a.hit))), a -> a.hit)"""
+    fields = dict(bars.select("date", *HIT_PRICES).dtypes)
+    none = ("CAST(NULL AS STRUCT<hit_idx: INT, hit_date: DATE, target: DOUBLE, "
+            + ", ".join(f"{c}: {fields[c]}" for c in HIT_PRICES) + ">)")
+    found = (f"""IF(kind = 'trail', filter(array({trail_hit.format(none=none)}),
+        h -> h IS NOT NULL), {plain_hit})""" if trailing else plain_hit)
+    # exploding the one hit (or none) evaluates the search once; a NULL filter would repeat it
+    hits = opened.select("code", "probe", F.explode(F.expr(found)).alias("hit"))
+    return (hits.groupBy("code", "probe").agg(F.min("hit").alias("hit"))
             .select("code", "probe", "hit.*"))
 
 
@@ -223,7 +238,7 @@ def ladder_fills(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame:
         probes = out.where(F.col(f"idx{k - 1}").isNotNull()).select(
             "code", F.col("ref_idx").alias("probe"), F.lit("down").alias("kind"),
             level.alias("level"), F.col(f"idx{k - 1}").alias("start_idx"),
-            F.lit(2 ** 31 - 1).alias("end_idx"), F.lit(None).cast("int").alias("peak_idx"))
+            F.lit(2 ** 31 - 1).alias("end_idx"))
         hit = first_crossing(_sellable(bars, plan), probes).withColumn("idx", F.col("hit_idx")).withColumn(
             "date", F.col("hit_date"))
         hit = hit.withColumn("px", _entry_price(plan, F.col("target")))
@@ -310,7 +325,7 @@ def _condition_hits(bars: DataFrame, probes: DataFrame, rules: list[tuple[int, E
     hit = probes.join(nxt, ["code", "start_idx"])
     picked = F.coalesce(*[F.when(F.col("rule") == n, F.col(f"next_{n}")) for n, _ in rules])
     return (hit.withColumn("hit", picked).where(F.col("hit.hit_idx") <= F.col("end_idx"))
-            .select("code", "ref_idx", "rule", "same_day", "hit.*"))
+            .select("code", "ref_idx", "rule", "same_day", "avg", "hit.*"))
 
 
 def exit_hits(bars: DataFrame, open_trades: DataFrame, plan: Plan) -> DataFrame:
@@ -362,20 +377,21 @@ def exit_hits(bars: DataFrame, open_trades: DataFrame, plan: Plan) -> DataFrame:
     for usable, numbers in groups:
         if numbers:
             q = p.where(F.col("rule").isin(numbers)).withColumn(
-                "probe", F.struct("ref_idx", "rule", "same_day")).withColumn(
+                "probe", F.struct("ref_idx", "rule", "same_day", "avg")).withColumn(
                 "peak_idx", F.when(F.col("kind") == "trail", F.col("entry_idx")))
-            parts.append(first_crossing(usable, q).select(
+            trailing = any(plan.exits[n].kind == "trailing_stop" for n in numbers)
+            parts.append(first_crossing(usable, q, trailing).select(
                 "code", "probe.*", "hit_idx", "hit_date", "target", *HIT_PRICES))
     if flagged:
         parts.append(_condition_hits(bars, p.where(F.col("kind") == "flag"), flagged, plan).select(
-            "code", "ref_idx", "rule", "same_day", "hit_idx", "hit_date", "target", *HIT_PRICES))
+            "code", "ref_idx", "rule", "same_day", "avg", "hit_idx", "hit_date", "target",
+            *HIT_PRICES))
     hits = reduce(DataFrame.unionByName, parts)
     price = _per_rule(rules, lambda r: _exit_price(plan, r))
     when = F.col("next_date") if plan.fill == "next_open" else F.col("hit_date")
     late = _per_rule(rules, lambda r: F.col("hit_date") if r.kind in ("time_exit", "trailing_stop")
                      else when)
     hits = hits.withColumns({"px": price, "exit_date": late}).where(F.col("px") > 0)
-    hits = hits.join(open_trades.select("code", "ref_idx", "avg"), ["code", "ref_idx"])
     net = F.col("px") * (1.0 - plan.slippage) * (1.0 - plan.fee) - F.col("avg")
     if plan.same_day_exit == "loss_only":
         hits = hits.where(~F.col("same_day") | (net <= 0))

@@ -23,7 +23,7 @@ def get_session(app_name: str = "barloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def local_session(cores: str | int = "*", memory: str = "6g") -> SparkSession:
+def local_session(cores: str | int = "*", memory: str = "6g", **conf: str) -> SparkSession:
     """Single-machine session used by tests and ``bench.py``."""
     parts = "8" if cores == "*" else str(cores)
     spark = get_session(
@@ -32,6 +32,7 @@ def local_session(cores: str | int = "*", memory: str = "6g") -> SparkSession:
             "spark.sql.shuffle.partitions": parts,
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
+            **conf,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

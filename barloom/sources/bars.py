@@ -42,7 +42,7 @@ def scan_bars(spark: SparkSession, root: str, years: tuple[int, int] | None = No
     else:
         wanted = ",".join(str(y) for y in range(years[0], years[1] + 1))
         df = reader.parquet(f"{root.rstrip('/')}/marcap-{{{wanted}}}.parquet")
-    year = F.regexp_extract(F.col("_metadata.file_name"), r"marcap-(\d{4})", 1).cast("int")
+    year = F.regexp_extract(F.col("_metadata.file_path"), r"marcap-(\d{4})", 1).try_cast("int")
     return df.select("*", year.alias("year"))
 
 
