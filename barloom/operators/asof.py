@@ -129,7 +129,12 @@ def first_day_on_or_after(dates: DataFrame, cal: DataFrame, date: str = "date")
     by the calendar span) and joined on equality, so no range join is needed.
     """
     w = Window.orderBy("date")
-    steps = cal.select(F.date_add(F.coalesce(F.lag("date").over(w), F.date_add("date", -366)), 1)
+    steps = cal.select(F.date_add(F.coalesce(F.lag("date").over(w), F.date_sub("date", 1)), 1)
                        .alias("_from"), F.col("date").alias("_to"), "day_idx")
     days = steps.select(F.explode(F.sequence("_from", "_to")).alias("_day"), "day_idx")
-    return dates.join(F.broadcast(days), F.col(date) == F.col("_day"), "left").drop("_day")
+    # any earlier date maps to the first trading day
+    first = cal.agg(F.min("date").alias("_first"), F.min("day_idx").alias("_first_idx"))
+    out = dates.join(F.broadcast(days), F.col(date) == F.col("_day"), "left").crossJoin(
+        F.broadcast(first))
+    return out.withColumn("day_idx", F.when(F.col(date) < F.col("_first"), F.col("_first_idx"))
+                          .otherwise(F.col("day_idx"))).drop("_day", "_first", "_first_idx")

@@ -500,7 +500,7 @@ def trade_ledger(positions: DataFrame, plan: Plan) -> DataFrame:
     n = len(plan.entries)
     log = F.filter(F.array(*[
         F.struct(F.lit(plan.entries[k].id).alias("rule"), F.col(f"date{k}").alias("date"),
-                 F.round(_paid(plan, F.col(f"px{k}")), 2).alias("price"),
+                 _paid(plan, F.col(f"px{k}")).alias("price"),
                  F.col(f"qty{k}").alias("qty")) for k in range(n)]),
         lambda f: f["date"].isNotNull())
     ids = [e.id for e in plan.exits]

@@ -40,7 +40,7 @@ def by_stock(trades: DataFrame) -> DataFrame:
 
 
 def daily_equity(ledger: DataFrame, bars: DataFrame, cal: DataFrame, *, initial: float,
-                 slippage: float, fee: float) -> DataFrame:
+                 fee: float) -> DataFrame:
     """Mark-to-market equity: cash flows summed up plus open quantity at the carried close.
 
     Quantity changes are spread over the days a symbol is known with one running sum per

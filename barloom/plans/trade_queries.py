@@ -301,7 +301,7 @@ _EQUITY_SQL = _PARTIAL_SQL + f""",
 cal AS (SELECT DISTINCT date FROM raw_bars),
 flow AS (
   SELECT code, date0 AS date, CAST(sum(qty) AS BIGINT) AS dq,
-         -sum(qty) * round(any_value(avg), 2) AS cash FROM ledger GROUP BY code, ref_idx, date0
+         -sum(qty) * any_value(avg) AS cash FROM ledger GROUP BY code, ref_idx, date0
   UNION ALL
   SELECT code, exit_date, -qty, exit_price * qty * CAST({1 - FEE!r} AS DOUBLE) FROM ledger),
 cum AS (SELECT code, date, sum(sum(dq)) OVER (PARTITION BY code ORDER BY date) AS q FROM flow GROUP BY 1, 2),
@@ -322,7 +322,7 @@ def _equity(spark, sf):
     bars = stage(_bars(spark, sf), "bars")
     ledger = stage(M.trade_ledger(M.match_trades(bars, partial_plan()), partial_plan()), "ledger")
     return PM.daily_equity(ledger, bars.select("code", "date", "close"),
-                           calendar(bars), initial=INITIAL, slippage=SLIP, fee=FEE)
+                           calendar(bars), initial=INITIAL, fee=FEE)
 
 
 @query("k16_equity", _EQUITY_SQL + """

@@ -32,6 +32,8 @@ def local_session(cores: str | int = "*", memory: str = "6g", **conf: str) -> Sp
             "spark.sql.shuffle.partitions": parts,
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
+            # call-site capture makes every Column expression slow to build
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             **conf,
         },
     )

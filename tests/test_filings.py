@@ -136,3 +136,11 @@ def test_preferred_statement_and_first_amount(spark):
     r = FO.pivot_items(df).first()
     assert (r.corp_code, r.fs_div, r.revenue, r.stock_code, r.currency) == ("00000001", "CFS", -2000, "005930", "KRW")
     assert r.disclosed_at == dt.date(2024, 5, 16)
+
+
+def test_first_trading_day_on_or_after(spark):
+    cal = spark.createDataFrame([(dt.date(2024, 1, 2), 0), (dt.date(2024, 1, 5), 1)], "date date, day_idx int")
+    days = [dt.date(2001, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3), dt.date(2024, 1, 5), dt.date(2024, 1, 6)]
+    asked = spark.createDataFrame([(d,) for d in days], "date date")
+    got = {r.date: r.day_idx for r in AO.first_day_on_or_after(asked, cal).collect()}
+    assert [got[d] for d in days] == [0, 0, 1, 1, None]

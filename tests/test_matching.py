@@ -47,7 +47,7 @@ def test_ladder_take_profit(make_bars):
     plan = ladder()
     (t,) = run(bars, plan)
     assert [(f.rule, f.qty) for f in t.fills] == [("B1", 1248), ("B2", 1387)]
-    assert [f.price for f in t.fills] == [4004.0, 3603.6]
+    assert [f.price for f in t.fills] == pytest.approx([4004.0, 3603.6])
     assert t.exit_rule == "TP" and t.exit_price == pytest.approx(t.avg_price * 1.10 * 0.999)
     assert t.avg_price == pytest.approx((1248 * 4004 + 1387 * 3603.6) / (1248 + 1387))
 
@@ -162,7 +162,7 @@ def test_equity_ends_at_cash(make_bars):
     plan = one()
     df = M.index_bars(bars)
     ledger = M.trade_ledger(M.match_trades(df, plan), plan)
-    eq = PM.daily_equity(ledger, bars, calendar(bars), initial=1e6, slippage=0.0, fee=0.0)
+    eq = PM.daily_equity(ledger, bars, calendar(bars), initial=1e6, fee=0.0)
     values = [r.value for r in eq.orderBy("date").collect()]
     assert values[0] == 1e6 and values[1] == 1e6 and values[-1] == pytest.approx(1e6 + 1000 * 10)
     p = PM.performance(eq, initial=1e6).first()
