@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import symbol_window
@@ -75,8 +75,9 @@ def carry_forward(bars: DataFrame, cal: DataFrame, columns: list[str]) -> DataFr
     calendar), so no symbol x day grid is joined: the output itself is the only growth.
     """
     w = symbol_window()
-    last = cal.agg(F.max("day_idx").alias("_last"))
-    b = (bars.join(F.broadcast(cal), "date").crossJoin(F.broadcast(last))
+    # one row per trading day: the un-partitioned window stays small
+    days = cal.withColumn("_last", F.max("day_idx").over(Window.partitionBy(F.lit(1))))
+    b = (bars.join(F.broadcast(days), "date")
          .withColumn("_until", F.coalesce(F.lead("day_idx").over(w) - 1, F.col("_last"))))
     days = b.select("code", *columns, F.col("date").alias("bar_date"),
                     F.explode(F.sequence("day_idx", "_until")).alias("day_idx"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -83,9 +83,8 @@ def ratio_outcomes(filings: DataFrame) -> DataFrame:
 def statement_share(filings: DataFrame) -> DataFrame:
     """Rows per statement basis with their share; the totals are a handful of rows."""
     n = filings.groupBy("fs_div").agg(F.count(F.lit(1)).alias("rows"))
-    total = n.agg(F.sum("rows").alias("_all"))
-    return n.crossJoin(F.broadcast(total)).select(
-        "fs_div", "rows", (F.col("rows") * 100.0 / F.col("_all")).alias("share_pct"))
+    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    return n.select("fs_div", "rows", (F.col("rows") * 100.0 / total).alias("share_pct"))
 
 
 def sign_statistics(filings: DataFrame) -> DataFrame:
@@ -158,10 +157,11 @@ def quarter_gaps(filings: DataFrame, fetched: DataFrame, today,
     ``fetched`` lists the quarters that were asked for.  The grid has four rows per year.
     """
     n = filings.groupBy("year", "quarter").agg(F.count(F.lit(1)).alias("rows"))
-    half = n.agg((F.percentile("rows", F.lit(0.5)) * 0.5).alias("_half"))
+    every = Window.partitionBy(F.lit(1))
+    n = n.withColumn("_half", F.percentile("rows", F.lit(0.5)).over(every) * 0.5)
     log = fetched.select("year", "quarter").distinct().withColumn("_asked", F.lit(True))
     g = (due_table(filings, today).join(F.broadcast(n), ["year", "quarter"], "left")
-         .join(F.broadcast(log), ["year", "quarter"], "left").crossJoin(F.broadcast(half)))
+         .join(F.broadcast(log), ["year", "quarter"], "left"))
     state = (F.when(F.col("rows").isNotNull(),
                     F.when(F.col("rows") < F.col("_half"), "thin").otherwise("ok"))
              .when(~F.col("is_due"), "not_due")
