@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import staging_root
-from . import decontamination, packing, quality_rules, secret_scan, simhash_dedup
+from . import decontamination, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,28 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
+SUBSTRING_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''),
+                  '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS low FROM v)
+      WHERE low < doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(13) AS t(k)),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w)
+SELECT w.doc_id, len(any_value(w.w)) AS n_words, count(c.i) AS n_removed,
+       sha256(coalesce(string_agg(e.x, ' ' ORDER BY e.i) FILTER (c.i IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN e ON e.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = e.doc_id AND c.i = e.i
+GROUP BY w.doc_id"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_simhash_dedup")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
