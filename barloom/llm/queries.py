@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import staging_root
-from . import decontamination, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from . import (decontamination, packing, quality_rules, secret_scan, simhash_dedup,
+               substring_dedup, suffix_dedup)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +114,13 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query("op7_suffix_dedup")
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
