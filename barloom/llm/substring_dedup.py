@@ -7,10 +7,13 @@ candidate survives.  For 13 words the levels are 6 and 13.
 * Of the first level only the positions that are the minimum of their surroundings are
   counted: every window of the second level holds one, and equal windows hold equal ones, so
   no repeat is missed and a quarter of the positions is moved.
+* At the last level all windows around one anchor are one stretch of text.  Where all
+  documents have the same stretch around an anchor, one row per document stands for all its
+  windows; only anchors with different stretches are compared window by window.
 * Counting is a partial aggregation before the shuffle, so a passage that a third of all
   documents share is one row per task.  The join back has only unique keys on one side, so
   its large side can be split.
-* A window's last level key has 96 bits (a 64-bit hash and a 32-bit one).
+* Keys of the last level have 96 bits (a 64-bit hash and a 32-bit one).
 """
 
 from __future__ import annotations
@@ -70,76 +73,139 @@ class _Survivors:
         return known[at] == wanted
 
 
-def _level_rows(docs: DataFrame, sizes: list[int], level: int) -> DataFrame:
-    """(h, g, key): the candidate windows of a level, distinct within a slice.
+def _stretches(h: np.ndarray, rows: np.ndarray, short: int, length: int) -> dict[str, np.ndarray]:
+    """All windows of ``length`` words of one document that have the same anchor, together:
+    first and last window, the anchor's hash, and a hash and a check of all their words."""
+    part, owner = _anchors(h, rows, short, length)
+    start = np.flatnonzero(_inside(rows, length))
+    own = owner[start]
+    cut = np.flatnonzero((own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)) + 1
+    none = start[:0]
+    first = start[np.concatenate([[0], cut])] if len(start) else none
+    last = start[np.concatenate([cut - 1, [len(start) - 1]])] if len(start) else none
+    out = {"first": first, "last": last, "anchor": part[owner[first]], "doc": rows[first]}
+    for name, base in (("hash", 0x9E3779B97F4A7C15), ("check", 0xC2B2AE3D27D4EB4F)):
+        # polynomial prefix hash of the words; the inverse power moves a stretch to the front
+        power = np.cumprod(np.full(len(h) + 1, base, np.uint64))
+        inverse = np.cumprod(np.full(len(h) + 1, pow(base, -1, 1 << 64), np.uint64))
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:len(h)], dtype=np.uint64)])
+        x = (prefix[last + length] - prefix[first]) * inverse[first]
+        out[name] = K.mix(x ^ K.mix((last - first).astype(np.uint64) << np.uint64(32)
+                                    | (owner[first] - first).astype(np.uint64)))
+    out["check"] = (out["check"] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
+
+
+def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Positions of the first of each (hash, document)."""
+    _, first = np.unique(K.mix(h) ^ K.mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)
+    return np.sort(first)
+
+
+def _candidates(known: _Survivors, s: K.Slice, h, rows, sizes: list[int], level: int) -> np.ndarray:
+    """Which windows of a level hold only survivors of the level before."""
+    if level == 1:
+        part, owner = _anchors(h, rows, sizes[0], sizes[1])
+        had = known.have(s.first, rows[:len(part)], part)
+        return _inside(rows, sizes[1]) & had[owner]
+    before, shift = sizes[level - 1], sizes[level] - sizes[level - 1]
+    ok = _inside(rows, sizes[level])
+    had = known.have(s.first, rows[:max(len(h) - before + 1, 0)], K.window_hashes(h, before))
+    return ok & had[:len(ok)] & had[shift:shift + len(ok)]
+
+
+def _slices(batch: pa.RecordBatch, lists: bool):
+    """(slice, survivors, word hashes, rows) of the slices of a batch that have any."""
+    known = _Survivors(batch.column(2)) if lists else None
+    for s in K.slices(batch.column(1)):
+        if known is None or known.bounds[s.first] < known.bounds[s.first + s.rows]:
+            starts, ends, rows = K.word_bounds(s)
+            yield s, known, K.hash_runs(s.data, starts, ends), rows
 
-    ``docs``: key, text and, from the second level on, ``hs`` with the hashes of the level
-    before that survive in this document.
+
+def _level_rows(docs: DataFrame, sizes: list[int], level: int, mode: str) -> DataFrame:
+    """Candidates of a level, distinct within a slice: (h, key), and more by ``mode``.
+
+    level: (h, key) of the windows of a level before the last.
+    stretch: (h, d, g, key): anchor, hash and check of a stretch with a candidate.
+    window: (h, g, key): windows whose anchor is in the document's list.
+    ``docs``: key, text and, from the second level on, ``hs``, the survivors of a document.
     """
-    last = level == len(sizes) - 1
+    length, listed = sizes[level], "hs" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = _Survivors(batch.column(2)) if level else None
-            for s in K.slices(batch.column(1)):
-                if known is not None and known.bounds[s.first] == known.bounds[s.first + s.rows]:
+            for s, known, h, rows in _slices(batch, listed):
+                keys = lambda doc: batch.column(0).take(pa.array(doc + s.first))  # noqa: E731, B023
+                if mode == "stretch":
+                    x = _stretches(h, rows, sizes[0], length)
+                    total = np.concatenate([[0], np.cumsum(
+                        _candidates(known, s, h, rows, sizes, level))])
+                    at = np.flatnonzero(total[x["last"] + 1] > total[x["first"]])
+                    at = at[_distinct(x["hash"][at], x["doc"][at])]
+                    yield pa.RecordBatch.from_arrays(
+                        [K.as_long(x["anchor"][at]), K.as_long(x["hash"][at]),
+                         pa.array(x["check"][at]), keys(x["doc"][at])], ["h", "d", "g", "key"])
                     continue
-                starts, ends, rows = K.word_bounds(s)
-                h = K.hash_runs(s.data, starts, ends)
-                ok = _inside(rows, sizes[level])
-                if level == 0 and not last:
-                    whole = _inside(rows, sizes[1])
+                if level == 0 and len(sizes) > 1:
                     own, at = _anchors(h, rows, sizes[0], sizes[1])
-                    at = np.unique(at[whole])
+                    at = np.unique(at[_inside(rows, sizes[1])])
                 else:
-                    own = K.window_hashes(h, sizes[level])
-                    if level == 1:
-                        part, owner = _anchors(h, rows, sizes[0], sizes[1])
-                        ok &= known.have(s.first, rows[:len(part)], part)[owner]
-                    elif level > 1:
-                        had = known.have(s.first, rows[:len(h) - sizes[level - 1] + 1],
-                                         K.window_hashes(h, sizes[level - 1]))
-                        shift = sizes[level] - sizes[level - 1]
-                        ok &= had[:len(ok)] & had[shift:shift + len(ok)]
-                    at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                doc = rows[at] + s.first
-                _, first = np.unique(K.mix(own[at]) ^ K.mix(doc.astype(np.uint64)),
-                                     return_index=True)
-                at, doc = at[np.sort(first)], doc[np.sort(first)]
-                check = np.zeros(len(at), np.int32)
-                if last:
-                    check = (K.window_hashes(h ^ np.uint64(0x5BD1E995), sizes[level])[at]
-                             >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [K.as_long(own[at]), pa.array(check), batch.column(0).take(pa.array(doc))],
-                    ["h", "g", "key"])
+                    own = K.window_hashes(h, length)
+                    if mode == "window" and known is not None:
+                        part, owner = _anchors(h, rows, sizes[0], length)
+                        had = known.have(s.first, rows[:len(part)], part)
+                        at = np.flatnonzero(_inside(rows, length) & had[owner])
+                    elif level:
+                        at = np.flatnonzero(_candidates(known, s, h, rows, sizes, level))
+                    else:
+                        at = np.flatnonzero(_inside(rows, length))
+                at = at[_distinct(own[at], rows[at])]
+                if mode == "level":
+                    yield pa.RecordBatch.from_arrays([K.as_long(own[at]), keys(rows[at])],
+                                                     ["h", "key"])
+                else:
+                    check = K.window_hashes(h ^ np.uint64(0x5BD1E995), length)[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [K.as_long(own[at]),
+                         pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                         keys(rows[at])], ["h", "g", "key"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.where("key IS NOT NULL").mapInArrow(run, f"h bigint, g int, key {kind}")
+    more = {"level": "", "stretch": "d bigint, g int, ", "window": "g int, "}[mode]
+    return docs.where("key IS NOT NULL").mapInArrow(run, f"h bigint, {more}key {kind}")
 
 
-def _hashes_by_key(rows: DataFrame) -> DataFrame:
+def _hashes_by_key(rows: DataFrame, column: str = "h", name: str = "hs") -> DataFrame:
     """A document's hashes in one list (as many as it has windows, at most)."""
-    return rows.groupBy("key").agg(F.collect_set("h").alias("hs"))
+    return rows.groupBy("key").agg(F.collect_set(column).alias(name))
 
 
-def _remove(docs: DataFrame, window: int) -> DataFrame:
-    """(key, n_words, n_removed, kept) from key, text and ``hs``, the windows to remove."""
+def _remove(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, n_words, n_removed, kept) from key, text and the hashes of the windows (``hs``)
+    and of the stretches (``ds``) to remove."""
+    window = sizes[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = _Survivors(batch.column(2))
+            single, whole = _Survivors(batch.column(2)), _Survivors(batch.column(3))
+            some = lambda k, s: k.bounds[s.first] < k.bounds[s.first + s.rows]
             for s in K.slices(batch.column(1)):
                 starts, ends, rows = K.word_bounds(s)
                 gone = np.zeros(len(starts) + 1, np.int32)
-                if known.bounds[s.first] < known.bounds[s.first + s.rows]:
-                    own = K.window_hashes(K.hash_runs(s.data, starts, ends), window)
+                if some(single, s) or some(whole, s):
+                    h = K.hash_runs(s.data, starts, ends)
+                if some(single, s):
+                    own = K.window_hashes(h, window)
                     hit = np.flatnonzero(_inside(rows, window)
-                                         & known.have(s.first, rows[:len(own)], own))
-                    gone[hit] += 1
+                                         & single.have(s.first, rows[:len(own)], own))
+                    np.add.at(gone, hit, 1)
                     np.subtract.at(gone, hit + window, 1)
+                if some(whole, s):
+                    x = _stretches(h, rows, sizes[0], window)
+                    hit = whole.have(s.first, x["doc"], x["hash"])
+                    np.add.at(gone, x["first"][hit], 1)
+                    np.subtract.at(gone, x["last"][hit] + window, 1)
                 gone = np.cumsum(gone)[:len(starts)] > 0
                 edges = np.searchsorted(rows, np.arange(s.rows + 1))
                 kept, removed = [], []
@@ -169,16 +235,23 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sizes, now = levels(window), pairs
-    for level in range(len(sizes)):
-        rows = _level_rows(now, sizes, level)
-        if level < len(sizes) - 1:
-            seen = (rows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-                    .where("low < high").select("h"))
-            alive = rows.select("h", "key").join(seen, "h").select("h", "key")
-            now = pairs.join(_hashes_by_key(alive), "key")
-        else:
-            seen = rows.groupBy("h", "g").agg(F.min("key").alias("low"),
-                                              F.max("key").alias("high")).where("low < high")
-            gone = rows.join(seen.select("h", "g", "low"), ["h", "g"]).where("key > low")
-            now = pairs.join(_hashes_by_key(gone), "key", "left")
-    return _remove(now, window).withColumnRenamed("key", key)
+    for level in range(len(sizes) - 1):
+        rows = _level_rows(now, sizes, level, "level")
+        seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        now = pairs.join(_hashes_by_key(rows.join(seen, "h")), "key")
+    if len(sizes) > 1:
+        rows = _level_rows(now, sizes, len(sizes) - 1, "stretch")
+        per_anchor = rows.groupBy("h").agg(
+            F.min("key").alias("low"),
+            *(f(c).alias(f"{c}{i}") for i, f in enumerate((F.min, F.max)) for c in ("d", "g")))
+        judged = rows.join(per_anchor, "h").withColumn("one", F.expr("d0 = d1 AND g0 = g1"))
+        whole = _hashes_by_key(judged.where("one AND key > low"), "d", "ds")
+        now = pairs.join(_hashes_by_key(judged.where("NOT one")), "key")
+    else:
+        whole = _hashes_by_key(pairs.where("false").selectExpr("key", "0L AS d"), "d", "ds")
+    rows = _level_rows(now, sizes, len(sizes) - 1, "window")
+    least = rows.groupBy("h", "g").agg(F.min("key").alias("low"))
+    gone = _hashes_by_key(rows.join(least, ["h", "g"]).where("key > low"))
+    both = gone.join(whole, "key", "full")
+    left = pairs.join(both, "key", "left").select("key", "text", "hs", "ds")
+    return _remove(left, sizes).withColumnRenamed("key", key)
