@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +138,13 @@ def _level_rows(docs: DataFrame, sizes: list[int], level: int, mode: str) -> Dat
         for batch in batches:
             for s, known, h, rows in _slices(batch, listed):
                 keys = lambda doc: batch.column(0).take(pa.array(doc + s.first))  # noqa: E731, B023
+                named = ~pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)[s.first:]
                 if mode == "stretch":
                     x = _stretches(h, rows, sizes[0], length)
                     total = np.concatenate([[0], np.cumsum(
                         _candidates(known, s, h, rows, sizes, level))])
-                    at = np.flatnonzero(total[x["last"] + 1] > total[x["first"]])
+                    at = np.flatnonzero((total[x["last"] + 1] > total[x["first"]])
+                                        & named[x["doc"]])
                     at = at[_distinct(x["hash"][at], x["doc"][at])]
                     yield pa.RecordBatch.from_arrays(
                         [K.as_long(x["anchor"][at]), K.as_long(x["hash"][at]),
@@ -160,6 +163,7 @@ def _level_rows(docs: DataFrame, sizes: list[int], level: int, mode: str) -> Dat
                         at = np.flatnonzero(_candidates(known, s, h, rows, sizes, level))
                     else:
                         at = np.flatnonzero(_inside(rows, length))
+                at = at[named[rows[at]]]
                 at = at[_distinct(own[at], rows[at])]
                 if mode == "level":
                     yield pa.RecordBatch.from_arrays([K.as_long(own[at]), keys(rows[at])],
@@ -173,7 +177,8 @@ def _level_rows(docs: DataFrame, sizes: list[int], level: int, mode: str) -> Dat
 
     kind = docs.schema["key"].dataType.simpleString()
     more = {"level": "", "stretch": "d bigint, g int, ", "window": "g int, "}[mode]
-    return docs.where("key IS NOT NULL").mapInArrow(run, f"h bigint, {more}key {kind}")
+    picked = docs.select("key", "text", *(["hs"] if listed else []))
+    return picked.mapInArrow(run, f"h bigint, {more}key {kind}")
 
 
 def _hashes_by_key(rows: DataFrame, column: str = "h", name: str = "hs") -> DataFrame:
@@ -233,12 +238,19 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     document with a null key is left as it is and removes nothing; rows that repeat a key
     count as one document and are all treated.
     """
-    pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # the texts are moved once: every join asks for the same exchange, which Spark reuses.
+    # ``k`` is never null, so no join puts a filter of its own below that exchange.
+    kind = docs.schema[key].dataType
+    none = F.lit("\0") if kind.simpleString() == "string" else F.lit(-(1 << 31)).cast(kind)
+    pairs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key), none).alias("k"),
+                        F.col(text).alias("text"))
+    meet = lambda lists, how="inner": pairs.join(
+        lists.withColumnRenamed("key", "k"), "k", how)
     sizes, now = levels(window), pairs
     for level in range(len(sizes) - 1):
         rows = _level_rows(now, sizes, level, "level")
         seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        now = pairs.join(_hashes_by_key(rows.join(seen, "h")), "key")
+        now = meet(_hashes_by_key(rows.join(seen, "h")))
     if len(sizes) > 1:
         rows = _level_rows(now, sizes, len(sizes) - 1, "stretch")
         per_anchor = rows.groupBy("h").agg(
@@ -246,12 +258,12 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
             *(f(c).alias(f"{c}{i}") for i, f in enumerate((F.min, F.max)) for c in ("d", "g")))
         judged = rows.join(per_anchor, "h").withColumn("one", F.expr("d0 = d1 AND g0 = g1"))
         whole = _hashes_by_key(judged.where("one AND key > low"), "d", "ds")
-        now = pairs.join(_hashes_by_key(judged.where("NOT one")), "key")
+        now = meet(_hashes_by_key(judged.where("NOT one")))
     else:
         whole = _hashes_by_key(pairs.where("false").selectExpr("key", "0L AS d"), "d", "ds")
     rows = _level_rows(now, sizes, len(sizes) - 1, "window")
     least = rows.groupBy("h", "g").agg(F.min("key").alias("low"))
     gone = _hashes_by_key(rows.join(least, ["h", "g"]).where("key > low"))
     both = gone.join(whole, "key", "full")
-    left = pairs.join(both, "key", "left").select("key", "text", "hs", "ds")
+    left = meet(both, "left").select("key", "text", "hs", "ds")
     return _remove(left, sizes).withColumnRenamed("key", key)
