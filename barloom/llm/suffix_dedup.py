@@ -112,7 +112,7 @@ def _occurrences(docs: DataFrame, window: int) -> DataFrame:
                      *(pa.array((x - base).astype(np.int32)) for x in (p, first, end))],
                     ["k", "h", "d1", "d2", "p", "a", "b"])
 
-    return docs.select("k", "text", "hs").mapInArrow(
+    return docs.select("k", "text", "hs", "key").mapInArrow(
         run, "k bigint, h bigint, d1 bigint, d2 bigint, p int, a int, b int")
 
 
@@ -139,7 +139,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                           ["h", "d1", "d2", "p", "part"])
 
-    return docs.select("text", "at").mapInArrow(
+    return docs.select("text", "at", "key").mapInArrow(
         run, "h bigint, d1 bigint, d2 bigint, p int, part binary")
 
 
@@ -246,7 +246,9 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
     anchors = stage(_all_anchors(pairs, window), "suffix-anchors")
     alive = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     lists = anchors.join(alive, "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
-    found = stage(_occurrences(pairs.join(lists, "k"), window), "suffix-occurrences")
+    # the texts are moved once: all joins below ask for the same exchange of (key, k, text),
+    # which Spark reuses
+    found = _occurrences(pairs.join(lists, "k"), window)
 
     kinds = found.groupBy("h", "d1", "d2").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k", "p", "a", "b")))
