@@ -10,6 +10,8 @@ candidate survives.  For 13 words the levels are 6 and 13.
 * At the last level all windows around one anchor are one stretch of text.  Where all
   documents have the same stretch around an anchor, one row per document stands for all its
   windows; only anchors with different stretches are compared window by window.
+* A text that equals one with a smaller key goes whole; it is known by its digest and takes no
+  part in the levels, as the smaller key stands for it.
 * Counting is a partial aggregation before the shuffle, so a passage that a third of all
   documents share is one row per task.  The join back has only unique keys on one side, so
   its large side can be split.
@@ -188,7 +190,7 @@ def _hashes_by_key(rows: DataFrame, column: str = "h", name: str = "hs") -> Data
 
 def _remove(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(key, n_words, n_removed, kept) from key, text and the hashes of the windows (``hs``)
-    and of the stretches (``ds``) to remove."""
+    and of the stretches (``ds``) to remove; a ``copy`` goes whole if it has a window."""
     window = sizes[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +215,8 @@ def _remove(docs: DataFrame, sizes: list[int]) -> DataFrame:
                     np.subtract.at(gone, x["last"][hit] + window, 1)
                 gone = np.cumsum(gone)[:len(starts)] > 0
                 edges = np.searchsorted(rows, np.arange(s.rows + 1))
+                copy = batch.column(4).slice(s.first, s.rows).to_numpy(zero_copy_only=False)
+                gone |= (copy & (np.diff(edges) >= window))[rows]
                 kept, removed = [], []
                 for i in range(s.rows):
                     words, out = bytes(s.text(i)).split(), gone[edges[i]:edges[i + 1]]
@@ -246,7 +250,14 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
                         F.col(text).alias("text"))
     meet = lambda lists, how="inner": pairs.join(
         lists.withColumnRenamed("key", "k"), "k", how)
-    sizes, now = levels(window), pairs
+    digest = F.md5(F.col("text").cast("binary"))
+    texts = pairs.where("key IS NOT NULL AND text IS NOT NULL").select("key", digest.alias("t"))
+    copies = _hashes_by_key(
+        texts.join(texts.groupBy("t").agg(F.min("key").alias("low")), "t").where("key > low"),
+        "t", "ts")
+    copy = F.coalesce(F.array_contains("ts", digest), F.lit(False))
+    sizes = levels(window)
+    now = meet(copies, "left").where(~copy).select("key", "text")
     for level in range(len(sizes) - 1):
         rows = _level_rows(now, sizes, level, "level")
         seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -264,6 +275,6 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = _level_rows(now, sizes, len(sizes) - 1, "window")
     least = rows.groupBy("h", "g").agg(F.min("key").alias("low"))
     gone = _hashes_by_key(rows.join(least, ["h", "g"]).where("key > low"))
-    both = gone.join(whole, "key", "full")
-    left = meet(both, "left").select("key", "text", "hs", "ds")
+    lists = gone.join(whole, "key", "full").join(copies, "key", "full")
+    left = meet(lists, "left").select("key", "text", "hs", "ds", copy.alias("copy"))
     return _remove(left, sizes).withColumnRenamed("key", key)
