@@ -39,11 +39,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def folded_words(s: K.Slice) -> tuple[np.ndarray, ...]:
+    """Folded bytes of a slice, and starts, ends and rows of its runs of letters and digits."""
+    folded = K.Slice(_LOWER[s.data], s.bounds, s.first)
+    return folded.data, *K.word_bounds(folded, _SEPARATOR)
+
+
 def _tokens(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a slice and their rows, case folded."""
-    folded = K.Slice(_LOWER[s.data], s.bounds, s.first)
-    starts, ends, rows = K.word_bounds(folded, _SEPARATOR)
-    return K.hash_runs(folded.data, starts, ends), rows
+    data, starts, ends, rows = folded_words(s)
+    return K.hash_runs(data, starts, ends), rows
 
 
 def _shingles(words: np.ndarray, size: int) -> np.ndarray:
