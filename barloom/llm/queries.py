@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import staging_root
-from . import (decontamination, packing, quality_rules, secret_scan, simhash_dedup,
-               substring_dedup, suffix_dedup)
+from ..sources.staging import stage, staging_root
+from . import (decontamination, packing, pairwise_quality, quality_rules, secret_scan,
+               simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,13 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+@query("op2_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 @query("op3_quality_rules")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(
@@ -114,6 +121,12 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query("op6_quality_classifier")
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.score_texts(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "labels"))
+
+
 @query("op7_suffix_dedup")
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
@@ -121,6 +134,12 @@ def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op8_token_counts")
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = stage(token_counts.token_blocks(table(spark, sf_dir, "documents")), "token-files")
+    return token_counts.count_tokens(blocks).select(F.col("key").alias("doc_id"), "n_tokens")
+
+
 @query("op9_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
