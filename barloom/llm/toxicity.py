@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
 * Terms are case-folded words and the first six bytes of longer ones.  The vocabulary is the
-  ``TERMS`` terms most associated with the label in the examples (chi-squared); document
-  frequencies for the weights are counted over all documents.
+  ``TERMS`` terms most associated with the label in the examples (chi-squared, and at least
+  half of the examples that hold the term have it); document frequencies for the weights are counted over all documents.
 * Examples are kept in an inverted index of blocks with the largest weight of every term in
   every block.  A text looks at blocks in the order of their bound and stops when no block
   left can reach its k-th neighbour, so the neighbours are exact.
@@ -28,9 +28,9 @@ from .decontamination import folded_words
 from .labelled import EXAMPLES, examples, held_out
 
 TERMS = 1024
-LEAST_CHI2, LEAST_DOCS = 20.0, 3
+LEAST_CHI2, LEAST_DOCS, LEAST_SHARE = 16.0, 4, 0.5
 NEIGHBOURS = 15
-PRIOR = 1.0
+PRIOR = 4.0
 BLOCK = 64
 THRESHOLD = 0.3
 PREFIX = 6
@@ -74,7 +74,7 @@ def _vocabulary(rows: DataFrame, size: int) -> np.ndarray:
              .agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("d")))
     chi2 = F.expr(f"{n}D * pow(a * ({n - toxic}D - d + a) - (d - a) * ({toxic}D - a), 2) "
                   f"/ (d * ({n}D - d) * {toxic}D * {n - toxic}D)")
-    best = (found.where(f"d >= {LEAST_DOCS} AND d < {n}").withColumn("c", chi2)
+    best = (found.where(f"d >= {LEAST_DOCS} AND a >= {LEAST_SHARE} * d").withColumn("c", chi2)
             .where(F.col("c") >= LEAST_CHI2).orderBy(F.desc("c"), "t").limit(size))
     return np.sort(np.array([r.t for r in best.select("t").collect()], np.int64).view(np.uint64))
 
