@@ -219,13 +219,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
                          shingle: int = 5, radius: int = 5) -> DataFrame:
     """``docs`` with one row of each group: of the document whose key names the group.
 
-    All columns stay.  Of rows that repeat that key one stays (least text hash).
+    All columns stay.  Rows that repeat that key with the same text are copies: one stays.
     """
     found = near_duplicates(docs, key, text, shingle, radius)
     parts = lambda c: {"_no": F.col(c).isNull(), "_id": F.coalesce(F.col(c), F.lit(0))}
     keep = (found.where(F.col(key).eqNullSafe(F.col("component"))).withColumns(parts(key))
             .select("_no", "_id").distinct())
-    first = Window.partitionBy("_no", "_id").orderBy(F.xxhash64(F.col(text)))
+    first = Window.partitionBy("_no", "_id", F.xxhash64(F.col(text))).orderBy("_id")
     return (docs.withColumns(parts(key)).join(keep, ["_no", "_id"], "left_semi")
             .withColumn("_row", F.row_number().over(first)).where("_row = 1")
             .select(*docs.columns))
