@@ -330,23 +330,3 @@ def halted_free(bars: DataFrame, wanted: dict[str, tuple[str, dict]]) -> DataFra
     """
     live = with_indicators(bars.where(~F.col("halted")), wanted)
     return live.unionByName(bars.where("halted"), allowMissingColumns=True)
-
-
-def warmup_start(first_day, wanted: dict[str, tuple[str, dict]], mode: str = "chart"):
-    """Earliest day to read so that the first visible bar has indicator values.
-
-    Chart: min(2 x longest period, 400) bars; scan: max(longest + 10, 30) bars.
-    """
-    import datetime as dt
-    import math
-
-    longest = 0
-    for name, params in wanted.values():
-        merged = {**REGISTRY[name.upper()].params, **params}
-        longest = max([longest] + [int(v) for v in merged.values()
-                                   if isinstance(v, int) and not isinstance(v, bool)])
-    if mode == "chart":
-        days = math.ceil(min(2 * longest, 400) * 1.9) + 7
-    else:
-        days = math.ceil(max(longest + 10, 30) * 1.75) + 30
-    return first_day - dt.timedelta(days=days)

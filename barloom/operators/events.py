@@ -77,7 +77,9 @@ def carry_forward(bars: DataFrame, cal: DataFrame, columns: list[str]) -> DataFr
     w = symbol_window()
     # one row per trading day: the un-partitioned window stays small
     days = cal.withColumn("_last", F.max("day_idx").over(Window.partitionBy(F.lit(1))))
-    b = (bars.join(F.broadcast(days), "date")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    known_values = {c: F.last(c, ignorenulls=True).over(so_far) for c in columns}
+    b = (bars.join(F.broadcast(days), "date").withColumns(known_values)
          .withColumn("_until", F.coalesce(F.lead("day_idx").over(w) - 1, F.col("_last"))))
     days = b.select("code", *columns, F.col("date").alias("bar_date"),
                     F.explode(F.sequence("day_idx", "_until")).alias("day_idx"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.columns import EOK
 from ..sources.bars import latest_rows
-from .asof import as_of, consecutive_profit_quarters
+from .asof import STREAK_LIMIT, as_of, consecutive_profit_quarters
 
 LABELS = ["name", "market", "market_id", "dept"]
 
@@ -47,7 +47,8 @@ def judge_events(events: DataFrame, filings: DataFrame, *, debt_ratio_max=None,
     out = as_of(events, filings, columns=["debt_ratio_pct", "current_ratio_pct",
                                           "capital_impaired"], prefix="f_")
     if profitable_quarters_min is not None:
-        streak = consecutive_profit_quarters(out, filings)
+        streak = consecutive_profit_quarters(
+            out, filings, limit=max(STREAK_LIMIT, profitable_quarters_min))
     else:
         streak = out.withColumn("profit_quarters", F.lit(None).cast("int"))
     verdict = P.fundamentals_verdict(

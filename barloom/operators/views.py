@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import symbol_window
 
 # Default and largest number of search results.
-SEARCH_DEFAULT, SEARCH_MAX = 50, 500
+SEARCH_DEFAULT = 50
 # Fixed value: margin of the price axis on either side.
 AXIS_PADDING = 0.06
 
@@ -69,7 +69,7 @@ def search_symbols(snapshot: DataFrame, query: str = "", limit: int = SEARCH_DEF
     ``total`` counts all matches.  The top rows come from a bounded sort, the total from an
     aggregation, so no global window is needed.
     """
-    limit = max(1, min(int(limit), SEARCH_MAX))
+    limit = max(1, int(limit))
     size = F.col("marcap_eok")
     if not query.strip():
         ranked = snapshot.withColumn("rank", F.lit(0))

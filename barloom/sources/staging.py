@@ -2,30 +2,21 @@
 
 Operators that use one intermediate result several times write it once as parquet instead
 of recomputing it.  The folder is the one the session names in ``spark.checkpoint.dir``;
-lost executors can re-read it.  Only a local session without that setting gets a temporary
-folder of its own.
+lost executors can re-read it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
-
 
 def staging_root(spark: SparkSession) -> str:
-    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="barloom-")
-    return _local_root
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

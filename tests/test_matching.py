@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,14 @@ def test_equity_ends_at_cash(make_bars):
     assert values[0] == 1e6 and values[1] == 1e6 and values[-1] == pytest.approx(1e6 + 1000 * 10)
     p = PM.performance(eq, initial=1e6).first()
     assert p.total_return_pct == pytest.approx(1.0) and p.mdd_pct == 0.0
+
+
+def test_carry_forward_keeps_the_last_known_value(spark):
+    from barloom.operators.events import carry_forward
+    bars = spark.createDataFrame(
+        [("a", dt.date(2024, 1, d), c) for d, c in ((1, 10.0), (2, None), (4, None))],
+        "code string, date date, close double")
+    cal = spark.createDataFrame([(dt.date(2024, 1, d), d) for d in range(1, 6)],
+                                "date date, day_idx int")
+    got = carry_forward(bars, cal, ["close"]).orderBy("date").collect()
+    assert [r.close for r in got] == [10.0] * 5
