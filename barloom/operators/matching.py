@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import symbol_window
 from ..functions.predicates import known, reference_gate
+from ..sources.bars import with_day_index
 from ..sources.staging import stage
 
 # Bars per block of the block-skipping search.
@@ -28,14 +29,13 @@ def index_bars(bars: DataFrame, cal: DataFrame | None = None) -> DataFrame:
     """Adds ``idx`` (bar number of the symbol), ``day_idx`` (trading day number) and the next
     bar's open and date.
 
-    Without a calendar the bar number itself counts the trading days of the symbol.
+    ``cal`` (date, day_idx) is the calendar of the market; by default the days of ``bars``.
+    A reference expires by trading days, whether or not its symbol traded on them.
     """
     w = symbol_window()
     out = bars.withColumns({"idx": F.row_number().over(w), "next_open": F.lead("open").over(w),
                             "next_date": F.lead("date").over(w)})
-    if cal is None:
-        return out.withColumn("day_idx", F.col("idx"))
-    return out.join(F.broadcast(cal), "date")
+    return with_day_index(out, cal)
 
 
 def active_reference(bars: DataFrame, valid_days: int = 60,
@@ -527,15 +527,27 @@ def trade_ledger(positions: DataFrame, plan: Plan) -> DataFrame:
         (F.try_divide(pnl, basis) * 100.0).alias("return_pct"), pnl.alias("pnl"))
 
 
+def position_fills(ledger: DataFrame) -> DataFrame:
+    """(code, f): every buy once.
+
+    Every sale logs the fills so far; a fill belongs to the first sale that shows it.
+    """
+    prev = Window.partitionBy("code", "group_id").orderBy("part")
+    seen = F.coalesce(F.lag(F.size("fills")).over(prev), F.lit(0))
+    return (ledger.select("code", "fills", seen.alias("seen"))
+            .select("code", F.explode(F.expr(
+                "slice(fills, seen + 1, greatest(size(fills) - seen, 0))")).alias("f")))
+
+
 def activity_log(bars: DataFrame, ledger: DataFrame) -> DataFrame:
     """Events, fills and results as one long table (date, level, code, text)."""
     match = bars.where("is_event").select(
         "date", F.lit("MATCH").alias("level"), "code",
         F.concat(F.lit("reference day, amount "), F.round("amount", 0).cast("bigint"))
         .alias("text"))
-    fills = (ledger.where("part = 1").select("code", F.explode("fills").alias("f")).select(
+    fills = position_fills(ledger).select(
         F.col("f.date").alias("date"), F.lit("FILL").alias("level"), "code",
-        F.concat_ws(" ", F.lit("buy"), F.col("f.rule"), F.col("f.qty")).alias("text")))
+        F.concat_ws(" ", F.lit("buy"), F.col("f.rule"), F.col("f.qty")).alias("text"))
     sales = ledger.select(
         F.col("exit_date").alias("date"), F.lit("FILL").alias("level"), "code",
         F.concat_ws(" ", F.lit("sell"), "exit_rule", "qty").alias("text"))

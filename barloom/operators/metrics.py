@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import carry_forward
+from .matching import position_fills
 
 # Trading days a year and the yearly risk-free rate of the Sharpe ratio.
 TRADING_DAYS = 252
@@ -47,12 +48,7 @@ def daily_equity(ledger: DataFrame, bars: DataFrame, cal: DataFrame, *, initial:
     symbol; only symbols that traded are carried.  The final running sum over all symbols
     runs on one row per trading day.
     """
-    # every sale logs the fills so far; a fill belongs to the first sale that shows it
-    prev = Window.partitionBy("code", "group_id").orderBy("part")
-    sized = (ledger.withColumn("n", F.size("fills"))
-             .withColumn("seen", F.coalesce(F.lag("n").over(prev), F.lit(0))))
-    buys = sized.withColumn("new", F.expr("slice(fills, seen + 1, greatest(n - seen, 0))")).select(
-        "code", F.explode("new").alias("f")).select(
+    buys = position_fills(ledger).select(
         "code", F.col("f.date").alias("date"), F.col("f.qty").alias("dq"),
         (-F.col("f.qty") * F.col("f.price")).alias("cash"))
     sells = ledger.select(
@@ -128,7 +124,7 @@ def quality_counters(bars: DataFrame, ledger: DataFrame) -> DataFrame:
         F.count_if("halted").alias("halted_bars"),
         F.countDistinct(F.when(F.col("halted"), F.col("code"))).alias("halted_symbols"),
         F.count_if("extreme_move").alias("extreme_moves"))
-    entries = ledger.where("part = 1").select("code", F.explode("fills.date").alias("date"))
+    entries = position_fills(ledger).select("code", F.col("f.date").alias("date"))
     up = flagged.where("limit_up").select("code", "date")
     down = flagged.where("limit_down").select("code", "date")
     sold = ledger.where("exit_rule != 'EOD'").select("code", F.col("exit_date").alias("date"))

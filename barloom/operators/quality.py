@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.filings import AMOUNTS
+from .asof import as_of
 
 # Limits beyond which the report raises an issue.
 MISSING_WARN_PCT = 30.0
@@ -179,19 +180,19 @@ def audit_dates(filings: DataFrame, n: int = 8) -> DataFrame:
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.date_add("lo", i * step))).alias("date"))
 
 
-def lookahead_audit(filings: DataFrame, n: int = 8) -> DataFrame:
-    """Rows returned per audit date and how many were disclosed later (must be none).
+def lookahead_audit(filings: DataFrame, n: int = 8, lookup=as_of) -> DataFrame:
+    """Symbols with a filing per audit date and how many of these were disclosed later.
 
-    The dates are a broadcast of ``n`` rows; each filing is kept once per later audit date
-    and reduced to the visible one per symbol by a partial aggregation.
+    ``lookup`` is the as-of join under test; it answers every symbol on each of the ``n``
+    dates (an array in a scalar subquery), and a right one has no violations.
     """
-    dates = audit_dates(filings, n)
-    seen = filings.join(F.broadcast(dates), F.col("disclosed_at") <= F.col("date"))
-    best = seen.groupBy("date", "code").agg(
-        F.max(F.struct("year", "quarter", "disclosed_at")).alias("f"))
-    return best.groupBy("date").agg(
+    dates = audit_dates(filings, n).agg(F.collect_list("date").alias("dates")).scalar()
+    probes = (filings.select("code").distinct().withColumn("dates", dates)
+              .select("code", F.explode("dates").alias("date")))
+    seen = lookup(probes, filings, columns=["code"]).where("disclosed_at IS NOT NULL")
+    return seen.groupBy("date").agg(
         F.count(F.lit(1)).alias("symbols"),
-        F.count_if(F.col("f.disclosed_at") > F.col("date")).alias("violations"))
+        F.count_if(F.col("disclosed_at") > F.col("date")).alias("violations"))
 
 
 def disclosure_day_probes(filings: DataFrame, code: str, n: int = 4) -> DataFrame:

@@ -121,9 +121,10 @@ def j5(spark, sf):
             .agg(F.count(F.lit(1)).alias("events")))
 
 
-_REF = """b AS (SELECT *, row_number() OVER w AS idx, volume >= 45 AND NOT halted AS ev FROM raw_bars
+_REF = """b AS (SELECT *, row_number() OVER w AS idx, dense_rank() OVER (ORDER BY date) AS dno,
+    volume >= 45 AND NOT halted AS ev FROM raw_bars
   WINDOW w AS (PARTITION BY code ORDER BY date)),
-ref AS (SELECT b.*, e.date AS ref_date, e.idx AS ref_idx, e.open AS ref_open, e.low AS ref_low,
+ref AS (SELECT b.*, e.date AS ref_date, e.idx AS ref_idx, e.dno AS ref_dno, e.open AS ref_open, e.low AS ref_low,
         e.close AS ref_close FROM b ASOF JOIN (SELECT * FROM b WHERE ev) e
         ON b.code = e.code AND b.idx > e.idx)"""
 
@@ -132,7 +133,7 @@ ref AS (SELECT b.*, e.date AS ref_date, e.idx AS ref_idx, e.open AS ref_open, e.
 SELECT code, count(*) AS watched, CAST(count(*) FILTER (WHERE low <= ref_open) AS BIGINT) AS below_open,
        CAST(count(*) FILTER (WHERE low <= ref_low) AS BIGINT) AS below_low,
        CAST(count(*) FILTER (WHERE close <= ref_close * 0.97) AS BIGINT) AS pullback
-FROM ref WHERE NOT halted AND NOT ev AND idx - ref_idx <= 5 GROUP BY code""")
+FROM ref WHERE NOT halted AND NOT ev AND dno - ref_dno <= 5 GROUP BY code""")
 def c21(spark, sf):
     from ..operators.matching import active_reference, index_bars
 

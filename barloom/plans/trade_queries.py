@@ -78,7 +78,8 @@ def _shown(ledger):
 
 
 _WATCH = """b AS (
-  SELECT *, row_number() OVER w AS idx, volume >= 45 AND NOT halted AS ev, lead(open) OVER w AS no,
+  SELECT *, row_number() OVER w AS idx, dense_rank() OVER (ORDER BY date) AS dno,
+         volume >= 45 AND NOT halted AS ev, lead(open) OVER w AS no,
          lead(date) OVER w AS nd, max(date) OVER (PARTITION BY code) AS last_date,
          count(*) OVER (PARTITION BY code) AS last_idx,
          last_value(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING
@@ -86,7 +87,7 @@ _WATCH = """b AS (
          CASE WHEN count(*) OVER f45 = 45 THEN avg(close) OVER f45 END AS ma45
   FROM raw_bars WINDOW w AS (PARTITION BY code ORDER BY date),
     f45 AS (PARTITION BY code ORDER BY date ROWS BETWEEN 44 PRECEDING AND CURRENT ROW)),
-wt AS (SELECT b.*, e.date AS ref_date, e.idx AS ref_idx, e.open AS r_open, e.low AS r_low,
+wt AS (SELECT b.*, e.date AS ref_date, e.idx AS ref_idx, e.dno AS ref_dno, e.open AS r_open, e.low AS r_low,
         e.close AS r_close, e.amount AS r_amount FROM b ASOF JOIN (SELECT * FROM b WHERE ev) e
         ON b.code = e.code AND b.idx > e.idx)"""
 
@@ -117,7 +118,7 @@ c AS (SELECT c1.*, CASE WHEN c1.idx1 IS NOT NULL THEN
   {n} AS prio, '{i}' AS rule, {sh!r}::DOUBLE AS share, {p} AS px, avg, qty FROM h WHERE NOT halted AND ({cond})"""
         for n, (i, cond, p, sh) in enumerate(rules))
     return f"""WITH RECURSIVE $raw_bars, {_WATCH},
-e0 AS (SELECT *, {px} AS px FROM wt WHERE NOT halted AND NOT ev AND idx - ref_idx <= {valid} AND ({when})),
+e0 AS (SELECT *, {px} AS px FROM wt WHERE NOT halted AND NOT ev AND dno - ref_dno <= {valid} AND ({when})),
 c0 AS (SELECT code, ref_idx, any_value(ref_date) AS ref_date,
          any_value(r_open) AS r_open, any_value(last_date) AS last_date,
          any_value(last_idx) AS last_idx, any_value(last_close) AS last_close,
@@ -202,12 +203,12 @@ _NEXT_SQL = _trades_sql(
 
 
 @query("k1_active_reference", f"""WITH $raw_bars, {_WATCH}
-SELECT code, CAST(date AS VARCHAR) AS date, CAST(ref_date AS VARCHAR) AS ref_date, idx - ref_idx AS age
-FROM wt WHERE NOT halted AND NOT ev AND idx - ref_idx <= 60""")
+SELECT code, CAST(date AS VARCHAR) AS date, CAST(ref_date AS VARCHAR) AS ref_date, dno - ref_dno AS age
+FROM wt WHERE NOT halted AND NOT ev AND dno - ref_dno <= 60""")
 def k1(spark, sf):
     w = M.active_reference(_bars(spark, sf), 60)
     return w.select("code", "date", F.col("ref.date").alias("ref_date"),
-                    (F.col("idx") - F.col("ref.idx")).alias("age"))
+                    (F.col("day_idx") - F.col("ref.day_idx")).alias("age"))
 
 
 @query("k2_entries", _LADDER_SQL + """

@@ -95,6 +95,12 @@ def test_as_of_equals_range_join_and_never_looks_ahead(spark):
     assert AO.as_of(probes, f).where(F.col("disclosed_at") > F.col("date")).count() == 0
     assert Q.lookahead_audit(f).agg(F.sum("violations")).first()[0] == 0
 
+    def blind(probes, filings, columns=None):     # an as-of join that ignores the date
+        best = filings.groupBy("code").agg(F.max(F.struct("year", "quarter", "disclosed_at")).alias("f"))
+        return probes.join(best, "code").select(*probes.columns, "f.*")
+
+    assert Q.lookahead_audit(f, lookup=blind).agg(F.sum("violations")).first()[0] > 0
+
 
 def test_disclosure_is_visible_on_its_own_day(spark):
     f = derived(spark, [row("000010", 2024, 1, D[1], 100)])

@@ -180,3 +180,41 @@ def test_carry_forward_keeps_the_last_known_value(spark):
                                 "date date, day_idx int")
     got = carry_forward(bars, cal, ["close"]).orderBy("date").collect()
     assert [r.close for r in got] == [10.0] * 5
+
+
+def test_reference_expires_by_trading_days_of_the_market(make_bars):
+    """Symbol B is not listed on most days; its reference ages with the market's calendar."""
+    bars = make_bars({"A": flat(100, 12), "B": flat(100, 12)}, events={("B", 0)})
+    days = [r.date for r in bars.where("code = 'A'").orderBy("date").collect()]
+    bars = bars.where((F.col("code") == "A") | F.col("date").isin(days[0], days[3], days[9]))
+    got = M.active_reference(M.index_bars(bars), 5).collect()
+    assert [(r.code, r.date) for r in got] == [("B", days[3])]
+    assert M.active_reference(M.index_bars(bars, calendar(bars)), 9).count() == 2
+
+
+def test_fills_after_a_partial_sale_are_counted(spark):
+    """The second buy shows only in the ledger row of the second sale."""
+    d = [dt.date(2024, 1, i) for i in range(1, 6)]
+    fill = "struct<rule:string,date:date,price:double,qty:bigint>"
+    ledger = spark.createDataFrame(
+        [("A", "g", 1, [("B1", d[0], 10.0, 5)], d[0], d[1], 2, "P1", 1),
+         ("A", "g", 2, [("B1", d[0], 10.0, 5), ("B2", d[2], 9.0, 4)], d[0], d[3], 7, "SL", 3)],
+        f"code string, group_id string, part int, fills array<{fill}>, entry_date date, "
+        "exit_date date, qty bigint, exit_rule string, hold_days int")
+    assert sorted((r.f.rule, r.f.qty) for r in M.position_fills(ledger).collect()) == [("B1", 5), ("B2", 4)]
+    bars = spark.createDataFrame([("A", x, 1.0, False) for x in d], "code string, date date, amount double, is_event boolean")
+    log = M.activity_log(bars, ledger).where("text LIKE 'buy%'").orderBy("date").collect()
+    assert [(r.date, r.text) for r in log] == [(d[0], "buy B1 5"), (d[2], "buy B2 4")]
+
+
+def test_second_buy_at_the_limit_counts(spark):
+    d = [dt.date(2024, 1, i) for i in range(1, 6)]
+    px = [100.0, 100.0, 130.0, 130.0, 130.0]        # day 3 closes 30 % up at its high
+    bars = spark.createDataFrame([("A", x, c, c, c, c, False) for x, c in zip(d, px)],
+                                 "code string, date date, open double, high double, low double, close double, halted boolean")
+    fill = "struct<rule:string,date:date,price:double,qty:bigint>"
+    ledger = spark.createDataFrame(
+        [("A", "g", 1, [("B1", d[0], 100.0, 5)], d[0], d[1], "P1"),
+         ("A", "g", 2, [("B1", d[0], 100.0, 5), ("B2", d[2], 130.0, 4)], d[0], d[3], "SL")],
+        f"code string, group_id string, part int, fills array<{fill}>, entry_date date, exit_date date, exit_rule string")
+    assert PM.quality_counters(bars, ledger).first().limit_price_fills == 1
