@@ -11,10 +11,21 @@ Memory and skew
   forest, which keeps every connection;
 * a bucket of more than ``BUCKET`` fingerprints is not compared there but indexed again on
   the bits outside its segment, by the same rule, so it is spread over many tasks.
+
+64 bits with radius 5 find few pairs of a shingle similarity of 0.8, which differ in some ten
+bits.  :func:`similar_documents` therefore takes a wide fingerprint of three 64-bit words over
+distinct shingles: its first 160 bits are cut into ten segments of 16 bits, and the distance
+is taken on all 192.  A pair of similarity 0.8 has a segment with at most one differing bit
+in 96 of 100 cases and is within the radius of 35 in seven of eight; at 0.9 both hold nearly
+always.  Pairs at a distance that a pair below 0.8 hardly ever has are links; the others are
+links if their shingle sets have the similarity.  Each task keeps ``FORESTS`` disjoint forests
+of its closest pairs, so the sets of a document are compared a few times however large its
+group is.  A link is missed only if all closer ways between its ends are refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +43,38 @@ SEGMENTS = (0, 22, 43, 64)   # bit positions at which a fingerprint is cut
 MAX_RADIUS = 5               # three segments: six differing bits may leave none with one
 BUCKET = 4096                # larger buckets are indexed a second time
 PAIRS = 1 << 20              # verified pairs held before they are reduced to a forest
+SMALL = 64                   # rows of a bucket that are compared at once with other buckets
+FINE = tuple(range(0, 64, 7)) + (64,)            # cuts of the second index
 
+WIDE = 3                     # words of a wide fingerprint
+WIDE_CUTS = (0, 16, 32, 48, 64)                  # cuts of each word
+WIDE_INDEXED = 160           # bits of a wide fingerprint that are indexed
+WIDE_FINE = (0, 11, 22, 33, 43, 54, 64)          # 18 segments reach every pair up to radius 35
+WIDE_RADIUS = 35
+FORESTS = 4                  # disjoint forests of wide links a task keeps
+WIDE_LEVELS = (8, 16, 24)    # forests of large buckets are also grown within these radii
+WIDE_BUCKET = 1 << 14
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of the word shingles (repeats included) of a lower-cased text.
 
-    Fewer words than ``shingle`` are one shingle; no words give 0.
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles (repeats included) of a lower-cased text.
+
+    Fewer words than ``shingle`` are one shingle; no words have none.
     """
     words = text.lower().split()  # ASCII letters; splits at 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1:].tolist())),
-                    np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1:].tolist())),
+                       np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 of none."""
     total = np.zeros(BITS, np.int64)
     for a in range(0, len(h), 1 << 14):
         total += np.unpackbits(h[a:a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1,
@@ -56,19 +82,56 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, fp BIGINT) of every row; a null text has no words."""
+def fingerprint(text: bytes, shingle: int) -> int:
+    """SimHash of the word shingles of a text; no words give 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_words(h: np.ndarray) -> list[int]:
+    """``WIDE`` SimHashes of distinct shingle hashes, each by another hash function."""
+    out = []
+    for _ in range(WIDE):
+        h = K.mix(h)
+        out.append(majority(h))
+    return out
+
+
+def _names(words: int) -> list[str]:
+    return ["fp"] if words == 1 else [f"w{n}" for n in range(words)]
+
+
+def _node(words: np.ndarray) -> np.ndarray:
+    """One number per fingerprint: itself, or a 64-bit hash of its words."""
+    u = np.ascontiguousarray(words).view(np.uint64)
+    out = u[:, 0]
+    for n in range(1, u.shape[1]):
+        out = K.mix(K.mix(out) + u[:, n])
+    return out.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int = 1) -> DataFrame:
+    """(key, fp BIGINT) of every row, for a wide fingerprint with its words w0, w1, ...
+
+    A null text has no words.
+    """
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    names = _names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.concatenate([np.zeros(0, np.uint64)] + [
-                np.array([fingerprint(bytes(s.text(i)), shingle) for i in range(s.rows)], np.uint64)
-                for s in K.slices(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), K.as_long(fps)], ["key", "fp"])
+            rows = [[fingerprint(bytes(s.text(i)), shingle)] if words == 1
+                    else wide_words(np.unique(shingle_hashes(bytes(s.text(i)), shingle)))
+                    for s in K.slices(batch.column(1)) for i in range(s.rows)]
+            fps = np.array(rows, np.uint64).reshape(-1, words)
+            cols = [K.as_long(np.ascontiguousarray(fps[:, n])) for n in range(words)]
+            if words > 1:
+                cols.insert(0, pa.array(_node(fps)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *cols], ["key", *(["fp"] if words > 1 else []), *names])
 
     kind = picked.schema["key"].dataType.simpleString()
-    return picked.mapInArrow(run, f"key {kind}, fp bigint")
+    cols = ["fp"] if words == 1 else ["fp", *names]
+    return picked.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} bigint" for c in cols))
 
 
 def _variant(fp: Column, i: Column, cuts: tuple[int, ...]) -> Column:
@@ -100,52 +163,133 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
+def _closest_forests(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+    """``FORESTS`` disjoint forests of the given links, each the closest of what is left.
+
+    The first keeps every connection; the others stand in where the later comparison of sets
+    refuses links of the first.
+    """
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a, d))
+    a, b, d = a[order], b[order], d[order]
+    new = np.ones(len(a), bool)          # the same pair has the same distance
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, d = a[new], b[new], d[new]
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)].tolist(), at[len(a):].tolist()
+    left, kept = list(range(len(a))), []
+    for _ in range(FORESTS):
+        root, rest = list(range(len(nodes))), []
+        for row in left:
+            i, j = x[row], y[row]
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            while root[j] != j:
+                root[j] = j = root[root[j]]
+            if i != j:
+                root[j] = i
+                kept.append(row)
+            else:
+                rest.append(row)
+        left = rest
+    return [c[np.array(kept, np.int64)] for c in (a, b, d)]
+
+
 class _Links:
-    def __init__(self) -> None:
-        self.a, self.b, self.held = [], [], 0
+    """Links of a task, reduced to a forest when many are held.
+
+    With ``exact`` some forests are kept that consist of the closest links (a, b, distance);
+    otherwise one of any pairs (a, b) with the same connections.
+    """
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def __init__(self, exact: bool) -> None:
+        self.exact, self.rows, self.held, self.bound = exact, [], 0, PAIRS
+
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         if len(a):
-            self.a.append(a)
-            self.b.append(b)
+            self.rows.append((a, b, d) if self.exact else (a, b))
             self.held += len(a)
-            if self.held > PAIRS:
+            if self.held > self.bound:
                 self.reduce()
 
-    def reduce(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = _forest(np.concatenate(self.a), np.concatenate(self.b))
-        self.a, self.b, self.held = [a], [b], 0
-        return a, b
+    def reduce(self) -> list[np.ndarray]:
+        if not self.rows:
+            return [np.zeros(0, np.int64)] * (3 if self.exact else 2)
+        cols = [np.concatenate(c) for c in zip(*self.rows)]
+        if self.exact:
+            cols = _closest_forests(*cols)
+        else:
+            cols = list(_forest(*cols))
+        self.rows, self.held = [tuple(cols)], len(cols[0])
+        self.bound = self.held + PAIRS
+        return cols
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows of two word arrays."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def _grow(fps: np.ndarray, radius: int, links: _Links) -> None:
+    """A spanning forest of one large bucket: every row meets the rows not reached before it.
+
+    A tight group is reached in one step, so copies of a text with small edits cost little.
+    """
+    node, rest = _node(fps), np.arange(len(fps))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            far = _far(fps[rest], fps[at:at + 1])
+            near = far <= radius
+            reached, rest = rest[near], rest[~near]
+            links.add(np.full(len(reached), node[at]), node[reached], far[near])
+            queue.extend(reached.tolist())
 
 
 def _close(fps: np.ndarray, groups: np.ndarray, radius: int, links: _Links) -> None:
     """Links between rows of one group (rows of a group are neighbours)."""
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    first = first[:len(groups)]
+    sizes = np.diff(np.concatenate([first, [len(groups)]]))
+    for a, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for level in (*(WIDE_LEVELS if links.exact else ()), radius):
+            _grow(fps[a:a + n], level, links)
+    small = np.repeat(sizes <= SMALL, sizes)
+    fps, groups = fps[small], groups[small]
+    node = _node(fps)
     lag, left = 1, np.arange(len(fps) - 1)
     while len(left):
         left = left[left + lag < len(fps)]
         left = left[groups[left] == groups[left + lag]]
-        near = left[np.bitwise_count((fps[left] ^ fps[left + lag]).view(np.uint64)) <= radius]
-        links.add(fps[near], fps[near + lag])
+        far = _far(fps[left], fps[left + lag])
+        near = left[far <= radius]
+        links.add(node[near], node[near + lag], far[far <= radius])
         lag += 1
 
 
-def _compare(index: DataFrame, radius: int, bucket: int | None) -> DataFrame:
-    """(a, b, later): links, and the rows (bucket number, fingerprint) of too large buckets."""
+def _compare(index: DataFrame, radius: int, bucket: int | None, words: int) -> DataFrame:
+    """(later, a, b, ...): links, and rows (bucket number, words) of too large buckets.
+
+    Links of wide fingerprints have their distance in b1.
+    """
+    others = [f"b{n}" for n in range(1, words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, deferred = _Links(), None
-        keep_k, keep_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        links, deferred = _Links(words > 1), None
+        keep_k, keep_f = np.zeros(0, np.int64), np.zeros((0, words), np.int64)
 
         def out(a, b, later):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.array(np.full(len(a), later))], ["a", "b", "later"])
+            cols = [pa.array(np.ascontiguousarray(b[:, n])) if n < b.shape[1]
+                    else pa.nulls(len(a), pa.int64()) for n in range(words)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), later)), pa.array(a), *cols],
+                                              ["later", "a", "b", *others])
 
         def parts():
             for batch in batches:
-                yield (batch.column(0).to_numpy(), batch.column(1).to_numpy(), False)
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64), True
+                yield (batch.column(0).to_numpy(), np.stack(
+                    [batch.column(1 + n).to_numpy() for n in range(words)], axis=1), False)
+            yield np.zeros(0, np.int64), np.zeros((0, words), np.int64), True
 
         for k, f, last in parts():
             if deferred is not None and len(k):      # the rest of a large bucket goes on
@@ -173,28 +317,53 @@ def _compare(index: DataFrame, radius: int, bucket: int | None) -> DataFrame:
                 done_k, done_f = k[:cut], f[:cut]
             _close(done_f, done_k, radius, links)
             keep_k, keep_f = k[cut:], f[cut:]
-        yield out(*links.reduce(), False)
+        a, *b = links.reduce()
+        yield out(a, np.stack(b, axis=1), False)
 
     return (index.repartition("k").sortWithinPartitions("k")
-            .mapInArrow(run, "a bigint, b bigint, later boolean"))
+            .mapInArrow(run, "later boolean, a bigint, b bigint"
+                        + "".join(f", {c} bigint" for c in others)))
 
 
 def fingerprint_links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): a forest with the components of all pairs of distinct ``fps.fp`` within radius."""
     if not 0 <= radius <= MAX_RADIUS:
         raise ValueError(f"three segments reach every pair up to radius {MAX_RADIUS}")
-    i = F.col("i")
-    variants = (fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-                .select(F.xxhash64(i, _variant(F.col("fp"), i, SEGMENTS)).alias("k"), "fp"))
-    found = stage(_compare(variants, radius, bucket), "simhash-links")
+    return _links(fps, radius, bucket, 1, SEGMENTS, BITS, FINE)
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, bucket: int = WIDE_BUCKET) -> DataFrame:
+    """(a, b, d): links between the nodes of distinct wide fingerprints (w0, w1, w2).
+
+    All pairs within ``radius`` bits that differ in at most one bit of some indexed segment
+    are connected; d is the distance of the linked pair.
+    """
+    if not 0 <= radius <= WIDE_RADIUS:
+        raise ValueError(f"the second index reaches every pair up to radius {WIDE_RADIUS}")
+    return _links(fps, radius, bucket, WIDE, WIDE_CUTS, WIDE_INDEXED, WIDE_FINE)
+
+
+def _links(fps: DataFrame, radius: int, bucket: int, words: int, cuts: tuple[int, ...],
+           indexed: int, fine: tuple[int, ...]) -> DataFrame:
+    names = _names(words)
+    cols, i = [F.col(c) for c in names], F.col("i")
+
+    def variants(rows: DataFrame, bits: int, at: tuple[int, ...], *within: str) -> DataFrame:
+        word = cols[0]
+        for n in range(1, words):
+            word = F.when(i >= BITS * n, cols[n]).otherwise(word)
+        return (rows.select(*within, *names,
+                            F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("i"))
+                .select(F.xxhash64(*within, i, _variant(word, i % BITS, at)).alias("k"), *names))
+
+    found = stage(_compare(variants(fps, indexed, cuts), radius, bucket, words), "simhash-links")
     # second index of large buckets: the bits of the whole fingerprint, cut finer
-    fine = tuple(range(0, 64, 7)) + (64,)
-    again = (found.where("later").select(
-        F.col("a").alias("k0"), F.col("b").alias("fp"),
-        F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-        .select(F.xxhash64("k0", i, _variant(F.col("fp"), i, fine)).alias("k"), "fp"))
-    return (found.where("not later").select("a", "b")
-            .union(_compare(again, radius, None).select("a", "b")))
+    rows = found.where("later").select(
+        F.col("a").alias("k0"), *[F.col("b" if n == 0 else f"b{n}").alias(c)
+                                  for n, c in enumerate(names)])
+    again = _compare(variants(rows, BITS * words, fine, "k0"), radius, None, words)
+    link = ["a", "b"] if words == 1 else ["a", "b", F.col("b1").alias("d")]
+    return found.where("not later").select(*link).union(again.select(*link))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4,
@@ -206,8 +375,60 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     component has no other.  An empty table gives no rows.
     """
     rows = stage(fingerprints(docs, key, text, shingle), "simhash-fingerprints")
+    return _grouped(rows, fingerprint_links(rows.select("fp").distinct(), radius), key)
+
+
+def sure_radius(similarity: float) -> int:
+    """Bits within which fewer than 1 of 100 pairs below this shingle similarity (Jaccard) lie."""
+    bits = BITS * WIDE
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return max(int(bits * p - 2.6 * math.sqrt(bits * p * (1 - p))), -1)
+
+
+def _shingle_sets(docs: DataFrame, key: str, text: str, keys: DataFrame, shingle: int) -> DataFrame:
+    """(fp, shingles): the distinct shingle hashes, ascending, of the documents with ``keys``."""
+    picked = (docs.select(F.col(key).isNull().alias("no"), F.coalesce(F.col(key), F.lit(0)).alias("id"),
+                          F.col(text).alias("text"))
+              .join(keys, ["no", "id"], "left_semi").select("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(0)):
+                sets = [np.unique(shingle_hashes(bytes(s.text(i)), shingle)) for i in range(s.rows)]
+                fps = np.array([wide_words(x) for x in sets], np.uint64).reshape(-1, WIDE)
+                values = np.concatenate([np.zeros(0, np.uint64), *sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_node(fps)), K.lists(K.as_long(values), np.array(list(map(len, sets))))],
+                    ["fp", "shingles"])
+
+    return (picked.mapInArrow(run, "fp bigint, shingles array<bigint>")
+            .groupBy("fp").agg(F.min("shingles").alias("shingles")))
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+                      similarity: float = 0.8) -> DataFrame:
+    """(key, fp, component) as :func:`near_duplicates`: groups of documents whose distinct word
+    shingles have at least this Jaccard similarity.  ``fp`` is a hash of the fingerprint's words.
+    """
+    rows = stage(fingerprints(docs, key, text, shingle, WIDE), "simhash-fingerprints")
+    near = stage(wide_links(rows.select(*_names(WIDE)).distinct()).distinct(), "simhash-near")
+    sure, check = F.col("d") <= sure_radius(similarity), near.where(
+        F.col("d") > sure_radius(similarity)).select("a", "b")
+    ends = check.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    keys = (rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key"))
+            .select(F.col("key").isNull().alias("no"), F.coalesce("key", F.lit(0)).alias("id"))
+            .distinct())
+    sets = stage(_shingle_sets(docs, key, text, stage(keys, "simhash-keys"), shingle), "simhash-sets")
+    both = (check.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b"))
+    same = F.size(F.array_intersect("x", "y"))
+    alike = both.where(same >= similarity * (F.size("x") + F.size("y") - same))
+    return _grouped(rows, near.where(sure).select("a", "b").union(alike.select("a", "b")), key)
+
+
+def _grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
     fps = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(fingerprint_links(fps, radius), "simhash-components")
+    roots = components(links, "simhash-components")
     member = (fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = member.groupBy("root").agg(F.min("least").alias("component"))
@@ -221,7 +442,16 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     All columns stay.  Rows that repeat that key with the same text are copies: one stays.
     """
-    found = near_duplicates(docs, key, text, shingle, radius)
+    return _keep_one(docs, near_duplicates(docs, key, text, shingle, radius), key, text)
+
+
+def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+                 similarity: float = 0.8) -> DataFrame:
+    """As :func:`drop_near_duplicates`, for the groups of :func:`similar_documents`."""
+    return _keep_one(docs, similar_documents(docs, key, text, shingle, similarity), key, text)
+
+
+def _keep_one(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     parts = lambda c: {"_no": F.col(c).isNull(), "_id": F.coalesce(F.col(c), F.lit(0))}
     keep = (found.where(F.col(key).eqNullSafe(F.col("component"))).withColumns(parts(key))
             .select("_no", "_id").distinct())

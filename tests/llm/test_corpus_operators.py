@@ -163,6 +163,78 @@ def test_simhash_large_buckets(spark):
         assert parts([tuple(r) for r in got]) == want
 
 
+def shingle_set(t, k=5):
+    w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                                                       "abcdefghijklmnopqrstuvwxyz")))
+    return frozenset(tuple(w[i:i + k]) for i in range(max(len(w) - k + 1, 1))) if w else frozenset()
+
+
+def edited(seed=5):
+    """Texts and copies of them with a few words replaced, also of repeated and null keys."""
+    rng, rows = random.Random(seed), []
+    for g in range(12):
+        base = [f"{rng.choice('abcdefghij')}{rng.randint(0, 400)}" for _ in range(150)]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 3, 6, 12):
+            w = list(base)
+            for at in rng.sample(range(150), edits):
+                w[at] = f"new{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows + [rows[3], (None, rows[8][1]), (900, None), (901, ""), (902, " \n"),
+                   (903, rows[4][1].upper())]
+
+
+def test_similar_documents(spark):
+    rows = edited()
+    docs = spark.createDataFrame([(*r, "clash", 1, "b") for r in rows], SCHEMA).repartition(3)
+    sets = [shingle_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    got = simhash_dedup.similar_documents(docs).collect()
+    assert bag((r.doc_id,) for r in got) == bag((r[0],) for r in rows)
+    found = {r.doc_id: r.component for r in got if r.doc_id is not None}
+    same = lambda i, j: found[rows[i][0]] == found[rows[j][0]]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if None not in (rows[i][0], rows[j][0])]
+    assert all(group[i] == group[j] for i, j in pairs if same(i, j))
+    alike = [(i, j) for i, j in pairs
+             if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    missed = [(i, j) for i, j in alike if not same(i, j)]
+    assert len(missed) <= 0.1 * len(alike)      # fingerprints miss some pairs at the limit
+    assert not any(len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j]) for i, j in missed)
+    kept = simhash_dedup.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({r.component for r in got})
+
+
+def test_wide_links_in_large_buckets(spark):
+    rng = random.Random(4)
+    base = [[rng.getrandbits(63) for _ in range(3)] for _ in range(4)]
+    rows = {tuple(b) for b in base}
+    for b in base * 25:
+        w = list(b)
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randint(0, 2)] ^= 1 << rng.randint(0, 62)
+        rows.add(tuple(w))
+    df = spark.createDataFrame(list(rows), "w0 bigint, w1 bigint, w2 bigint")
+    words = np.array(list(rows), np.int64)
+    node = simhash_dedup._node(words).tolist()
+    far = {(a, b): int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+           for a, x in zip(node, words) for b, y in zip(node, words)}
+    for bucket in (1 << 14, 2):
+        got = simhash_dedup.wide_links(df, 30, bucket).collect()
+        assert all(far[r.a, r.b] == r.d <= 30 for r in got)
+        root = {n: n for n in node}
+        for _ in node:
+            for r in got:
+                root[r.a] = root[r.b] = min(root[r.a], root[r.b])
+        assert len(set(root.values())) == 4
+        assert all(root[a] == root[b] for (a, b), d in far.items() if d <= 30)
+
+
 def rule_counts(t):
     t = t or ""
     w = WORD.findall(t)
@@ -367,6 +439,7 @@ def test_empty_tables(spark, empty, tmp_path):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     frames = [substring_dedup.remove_repeated(empty), suffix_dedup.remove_repeated_bytes(empty),
               simhash_dedup.near_duplicates(empty), simhash_dedup.drop_near_duplicates(empty),
+              simhash_dedup.similar_documents(empty), simhash_dedup.drop_similar(empty),
               quality_rules.judge(empty, labels), decontamination.contaminated(empty, bench),
               secret_scan.scan_versions(empty.drop("blob"), str(tmp_path / "l")), packing.pack(empty),
               toxicity.score_texts(empty, labels), pairwise_quality.score_texts(empty, labels),
