@@ -210,6 +210,38 @@ def test_similar_documents(spark):
     assert kept.count() == len({r.component for r in got})
 
 
+def test_similar_documents_at_the_limit(spark):
+    """Pairs just above and below 0.8, and a group too large and loose for one pivot."""
+    rng, texts = random.Random(11), []
+
+    def text(n):
+        return [f"{rng.choice('abcdefghij')}{rng.randint(0, 9999)}" for _ in range(n)]
+
+    def replaced(words, places):
+        return [f"new{rng.randint(0, 10 ** 9)}" if i in places else w for i, w in enumerate(words)]
+
+    for n in range(120):     # one run of words replaced: 204 shingles, 18 to 27 of them others
+        base = text(208)
+        texts += [base, replaced(base, range(60, 60 + 14 + n % 10))]
+    base = text(104)
+    texts += [replaced(base, rng.sample(range(104), rng.randint(1, 3))) for _ in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(t), "clash", 1, "b") for i, t in enumerate(texts)],
+                                 SCHEMA).repartition(3)
+    sets = [shingle_set(" ".join(t)) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+             if len(a & b) >= 0.8 * len(a | b)]
+    group = list(range(len(texts)))
+    for _ in texts:
+        before = list(group)
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    assert 20 < len({i for i in range(0, 240, 2) if group[i + 1] == i}) < 100
+    got = {r.doc_id: r.component for r in simhash_dedup.similar_documents(docs).collect()}
+    assert got == dict(enumerate(group))
+
+
 def test_wide_links_in_large_buckets(spark):
     rng = random.Random(4)
     base = [[rng.getrandbits(63) for _ in range(3)] for _ in range(4)]
