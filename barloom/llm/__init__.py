@@ -1,6 +1,6 @@
 """Operators for preparing large text corpora.
 
-Ten operators, each with its own general interface, and the thin registered queries
+Thirteen operators, each with its own general interface, and the thin registered queries
 (``queries.py``).  Nothing else in the library imports this package.
 
 Shared conventions

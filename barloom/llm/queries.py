@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage, staging_root
-from . import (decontamination, packing, pairwise_quality, quality_rules, secret_scan,
-               simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity)
+from . import (conversation_repair, decontamination, packing, pairwise_quality, quality_rules,
+               secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_alignment,
+               token_counts, toxicity, trie_bpe)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +152,52 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_bpe")
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie_bpe.round_trip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) with the damage of the contract."""
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" "))
+                              for c in ("conv_id", "turn")))
+    hit = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    times = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn",
+        F.when(hit == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(hit == 1, "").when(hit == 2, F.translate(text, ".!?", "")).otherwise(text)
+        .alias("text"), F.explode(F.array_repeat(F.lit(1), times))).drop("col")
+
+
+@query("op12_conversation_repair")
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(original)
+    edits = conversation_repair.plan_repairs(rows)
+    numbers = conversation_repair.summary(rows, edits)
+    audits = conversation_repair.audits(rows, edits)
+    out = original.select("conv_id").distinct()
+    for part in (numbers, audits):
+        out = (out.join(part.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")),
+                        "left").drop("c"))
+    zero = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
+            for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+                      .alias("repaired_sha256"))
+
+
+@query("op13_token_alignment")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    kept = stage(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return token_alignment.score_links(kept, token_alignment.link_counts(kept)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+        "n_overlaps")
