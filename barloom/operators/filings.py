@@ -46,21 +46,32 @@ def pivot_items(items: DataFrame, keys: tuple[str, ...] = ("year", "quarter")) -
 
 def quarterly_from_cumulative(filings: DataFrame, value: str = "op_income",
                               out: str = "op_income_quarter") -> DataFrame:
-    """Year-to-date value -> value of the quarter itself.
+    """Year-to-date value -> value of the quarter itself, as known when the row was disclosed.
 
-    Unknown when the previous quarter is missing or was reported on another basis.  The
-    previous quarter is a one-step range frame over the quarter number, so restated rows of
-    one quarter all look at the same (latest) previous figure.
+    Unknown when the previous quarter is missing, was not yet disclosed, or was reported on
+    another basis.  A quarter may have been restated any number of times: each row subtracts the
+    version of the previous quarter that was the newest on the row's own disclosure day, so no
+    row sees a restatement of its future.  A version without a disclosure date counts as the
+    oldest one, and a row without one sees all versions.  Versions of one day: the greater value,
+    then the later basis.
+
+    One exchange on company and year; the newest version of each quarter is a running maximum
+    over the disclosure days, which is linear in the rows.
     """
-    prev = (Window.partitionBy("corp_code", "year").orderBy(F.col("quarter").cast("int"))
-            .rangeBetween(-1, -1))
-    rank = F.coalesce("disclosed_at", F.lit("0001-01-01").cast("date"))
-    before = F.max_by(F.struct(F.col(value).alias("v"), F.col("fs_div").alias("fs")),
-                      rank).over(prev)
-    df = filings.withColumn("_before", before)
-    quarter = F.when(F.col("quarter") == 1, F.col(value)).when(
-        F.col("_before.fs").eqNullSafe(F.col("fs_div")), F.col(value) - F.col("_before.v"))
-    return df.withColumn(out, quarter.cast("bigint")).drop("_before")
+    year = Window.partitionBy("corp_code", "year")
+    known = (year.orderBy(F.asc_nulls_first("disclosed_at"))
+             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    version = F.struct(F.coalesce("disclosed_at", F.lit("0001-01-01").cast("date")).alias("at"),
+                       F.col(value).alias("v"), F.col("fs_div").alias("fs"))
+    quarter = F.col("quarter").cast("int")
+    newest = lambda q, over: F.max(F.when(quarter == q, version)).over(over)
+    before = [F.when(F.col("disclosed_at").isNull(), newest(q, year)).otherwise(newest(q, known))
+              for q in (1, 2, 3)]
+    df = filings.withColumn("_before", F.when(quarter.between(2, 4), F.get(F.array(*before), quarter - 2)))
+    own = F.when(quarter == 1, F.col(value)).when(
+        F.col("_before").isNotNull() & F.col("_before.fs").eqNullSafe(F.col("fs_div")),
+        F.col(value) - F.col("_before.v"))
+    return df.withColumn(out, own.cast("bigint")).drop("_before")
 
 
 def derive_columns(filings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.filings import AMOUNTS
 from .asof import as_of
+from .quantiles import exact_quantiles
 
 # Limits beyond which the report raises an issue.
 MISSING_WARN_PCT = 30.0
@@ -55,20 +56,26 @@ def distribution(df: DataFrame, columns: list[str], approximate: bool = False,
                  accuracy: int = 10_000) -> DataFrame:
     """Count, minimum, quartiles and maximum per column, unknown values dropped.
 
-    Exact percentiles keep every distinct value of a column in one aggregation buffer; on
-    tables beyond memory use ``approximate`` (bounded sketches, error 1/accuracy).
+    Exact percentiles are selected by rank over range-sorted value counts (no task holds a whole
+    column); ``approximate`` reads the table once with bounded sketches (error 1/accuracy).
     """
     points = [0.0, 0.25, 0.5, 0.75, 1.0]
     names = ["min", "p25", "median", "p75", "max"]
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, points, accuracy) if approximate
-             else F.percentile(x, F.array(*[F.lit(p) for p in points])))
-        aggs += [F.count(c).alias(f"{c}__n"), q.alias(f"{c}__q")]
-    a = df.agg(*aggs).select("*", *[F.get(f"{c}__q", F.lit(i)).alias(f"{c}__{n}")
-                                    for c in columns for i, n in enumerate(names)])
-    return _long(a, columns, ["n", *names], "column")
+    if approximate:
+        sketches = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.percentile_approx(
+            F.col(c).cast("double"), points, accuracy).alias("q")) for c in columns]
+        found = df.agg(F.array(*sketches).alias("x")).select(F.inline("x"))
+        return found.select("column", "n", *[F.get("q", F.lit(i)).alias(x)
+                                             for i, x in enumerate(names)])
+    return _per_column(df, columns, points).select(
+        "column", "n", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(names)])
+
+
+def _per_column(df: DataFrame, columns: list[str], points: list[float]) -> DataFrame:
+    """Exact percentiles with a row for every column, known values or not."""
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(exact_quantiles(df, columns, points), "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "q")
 
 
 def ratio_outcomes(filings: DataFrame) -> DataFrame:
@@ -215,17 +222,19 @@ def longest_loss_history(filings: DataFrame, exclude: tuple[str, ...] = ()) -> D
 def symbol_sanity(filings: DataFrame, code: str, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Median of chosen ratios of one symbol against stated bounds."""
     one = filings.where(F.col("code") == code)
-    names = list(bounds)
-    a = one.agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}__median") for c in names])
-    a = a.select("*", *[F.col(f"{c}__median").between(*bounds[c]).alias(f"{c}__in_range")
-                        for c in names])
-    return _long(a, names, ["median", "in_range"], "column")
+    median = F.get("q", F.lit(0))
+    limits = F.create_map(*[x for c, (lo, hi) in bounds.items() for x in (
+        F.lit(c), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")))])
+    limit = limits[F.col("column")]
+    return _per_column(one, list(bounds), [0.5]).select(
+        "column", median.alias("median"), median.between(limit["lo"], limit["hi"]).alias("in_range"))
 
 
 def quality_checks(filings: DataFrame, live: DataFrame) -> DataFrame:
     """All threshold checks as rows (check, value, low, high, status).
 
-    The filing table is read once for all aggregates; the coverage adds one row.
+    The filing table is read once for all aggregates and once for the medians, which are exact
+    (:func:`~barloom.operators.quantiles.exact_quantiles`); the coverage adds one row.
     """
     n = F.count(F.lit(1))
     missing = {c: MISSING_WARN_PCT for c in AMOUNTS if c not in ("cur_assets", "cur_liab")}
@@ -236,20 +245,26 @@ def quality_checks(filings: DataFrame, live: DataFrame) -> DataFrame:
                "consolidated_rows": (1.0, None)}
     values = {f"missing_{c}": (n - F.count(c)) * 100.0 / n for c in missing}
     values |= {
-        "median_debt_ratio": F.percentile("debt_ratio_pct", F.lit(0.5)),
-        "median_current_ratio": F.percentile("current_ratio_pct", F.lit(0.5)),
         "negative_income_share": F.try_divide(F.count_if(F.col("op_income") < 0) * 100.0,
                                               F.count("op_income")),
         "consolidated_rows": F.count_if(F.col("fs_div") == "CFS").cast("double")}
     one = filings.agg(*[v.alias(k) for k, v in values.items()])
-    rows = F.array(*[F.struct(
-        F.lit(k).alias("check"), F.col(k).cast("double").alias("value"),
-        F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"))
-        for k, (lo, hi) in limits.items()])
+    def row(k, value):
+        lo, hi = limits[k]
+        return F.struct(F.lit(k).alias("check"), value.cast("double").alias("value"),
+                        F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"))
+
+    rows = F.array(*[row(k, F.col(k)) for k in values])
+    ratios = {"debt_ratio_pct": "median_debt_ratio", "current_ratio_pct": "median_current_ratio"}
+    median = F.get("q", F.lit(0))
+    medians = _per_column(filings, list(ratios), [0.5]).select(F.inline(F.array(*[
+        row(k, F.when(F.col("column") == c, median)) for c, k in ratios.items()])), "column")
+    medians = medians.where(F.col("check") == F.create_map(*[
+        F.lit(x) for pair in ratios.items() for x in pair])[F.col("column")]).drop("column")
     covered = coverage(filings, live).select(
         F.lit("live_coverage").alias("check"), F.col("covered_pct").alias("value"),
         F.lit(LIVE_COVERAGE_MIN).alias("low"), F.lit(None).cast("double").alias("high"))
-    checks = one.select(F.inline(rows)).unionByName(covered)
+    checks = one.select(F.inline(rows)).unionByName(medians).unionByName(covered)
     bad = (F.col("value").isNull() | F.coalesce(F.col("value") < F.col("low"), F.lit(False))
            | F.coalesce(F.col("value") > F.col("high"), F.lit(False)))
     return checks.withColumn("status", F.when(bad, "issue").otherwise("ok"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -38,32 +39,50 @@ def a14(spark, sf):
     return SF.filing_status(base.filings(spark, sf))
 
 
-@query("a12_rebuild", """WITH $filings
-SELECT code, year, quarter, coalesce(debt_ratio_pct, -1) AS debt_ratio_pct,
-       CAST(op_income_quarter AS DOUBLE) AS op_income_quarter FROM fder""")
+_KNOWN_SQL = """known AS (
+  SELECT *, CASE WHEN quarter = 1 THEN op_income WHEN pfs = fs_div THEN op_income - pv END AS own
+  FROM (SELECT f.*, p.op_income AS pv, p.fs_div AS pfs, row_number() OVER (PARTITION BY f.rid
+          ORDER BY coalesce(p.disclosed_at, DATE '0001-01-01') DESC, p.op_income DESC, p.fs_div DESC) AS rn
+        FROM (SELECT *, row_number() OVER () AS rid FROM filings) f
+        LEFT JOIN filings p ON p.code = f.code AND p.year = f.year AND p.quarter = f.quarter - 1
+         AND (f.disclosed_at IS NULL OR p.disclosed_at IS NULL OR p.disclosed_at <= f.disclosed_at))
+  WHERE rn = 1)"""
+
+
+@query("a12_rebuild", f"""WITH $filings, {_KNOWN_SQL}
+SELECT code, year, quarter, coalesce(CAST(disclosed_at AS VARCHAR), '') AS disclosed_at,
+       coalesce(debt_ratio_pct, -1) AS debt_ratio_pct, CAST(own AS DOUBLE) AS op_income_quarter FROM known""")
 def a12(spark, sf):
-    """Derived columns of the year tables recomputed from bare quarter parts."""
-    return SF.rebuild(_originals(spark, sf)).select(
-        "code", "year", "quarter", F.coalesce("debt_ratio_pct", F.lit(-1.0)).alias("debt_ratio_pct"),
+    """Derived columns of the year tables recomputed from bare quarter parts, restatements too."""
+    return SF.rebuild(_parts(spark, sf)).select(
+        "code", "year", "quarter", _day("disclosed_at"),
+        F.coalesce("debt_ratio_pct", F.lit(-1.0)).alias("debt_ratio_pct"),
         F.col("op_income_quarter").cast("double").alias("op_income_quarter"))
 
 
-def _originals(spark, sf):
-    """First-published rows: a restated row carries the smaller income."""
-    keep = ["code", "corp_code", "fs_div", "currency", "year", "quarter", *SF.AMOUNTS]
-    rows = base.filings(spark, sf)
-    best = rows.groupBy("code", "year", "quarter").agg(
-        F.min("disclosed_at").alias("disclosed_at"),
-        *[F.max_by(c, "op_income").alias(c) for c in keep if c not in ("code", "year", "quarter")])
-    return best.select(*keep, "disclosed_at")
+def _day(c):
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("")).alias(c)
+
+
+def _parts(spark, sf):
+    """Quarter parts as fetched: every filing and restatement, nothing derived."""
+    return base.filings(spark, sf).select("code", "corp_code", "fs_div", "currency", "year", "quarter",
+                                          "disclosed_at", *SF.AMOUNTS)
+
+
+def _versions(spark, sf):
+    """The parts with ``version``: 0 as first published, 1 restated (to a smaller income)."""
+    again = Window.partitionBy("code", "year", "quarter").orderBy(F.desc("op_income"))
+    return _parts(spark, sf).withColumn("version", F.row_number().over(again) - 1)
 
 
-@query("f24_quarterly_income", """WITH $filings
-SELECT code, year, quarter, CAST(op_income AS DOUBLE) AS cumulative,
-       CAST(op_income_quarter AS DOUBLE) AS quarterly FROM fder""")
+@query("f24_quarterly_income", f"""WITH $filings, {_KNOWN_SQL}
+SELECT code, year, quarter, coalesce(CAST(disclosed_at AS VARCHAR), '') AS disclosed_at,
+       CAST(op_income AS DOUBLE) AS cumulative, CAST(own AS DOUBLE) AS quarterly FROM known""")
 def f24(spark, sf):
-    out = FO.quarterly_from_cumulative(_originals(spark, sf).drop("op_income_quarter"))
-    return out.select("code", "year", "quarter", F.col("op_income").cast("double").alias("cumulative"),
+    out = FO.quarterly_from_cumulative(_parts(spark, sf))
+    return out.select("code", "year", "quarter", _day("disclosed_at"),
+                      F.col("op_income").cast("double").alias("cumulative"),
                       F.col("op_income_quarter").cast("double").alias("quarterly"))
 
 
@@ -80,9 +99,10 @@ def _items(spark, sf):
 
     Odd symbols carry their own stock code, even ones need the company map; negative amounts
     are written in brackets or with a triangle; a separate statement precedes the
-    consolidated one and must be ignored.
+    consolidated one and must be ignored.  A restatement is an answer of its own with a later
+    receipt.
     """
-    f = _originals(spark, sf)
+    f = _versions(spark, sf)
     odd = F.col("code").cast("bigint") % 2 == 1
 
     def text(c):
@@ -96,32 +116,36 @@ def _items(spark, sf):
             F.when(odd, F.col("code")).otherwise("").alias("stock_code"), F.lit(fs).alias("fs_div"),
             F.lit(name).alias("account_nm"), value.alias("thstrm_amount"),
             F.lit("KRW").alias("currency"),
-            F.concat(F.date_format(C.disclosure_due_date("year", "quarter"), "yyyyMMdd"),
+            F.concat(F.date_format(F.date_add(C.disclosure_due_date("year", "quarter"),
+                                              60 * F.col("version")), "yyyyMMdd"),
                      F.lit("000123")).alias("rcept_no"))
 
     separate = [item("매출액", "OFS", F.lit("1"))]
     listed = [item(n, "CFS", text(c)) for n, c in _SPELL]
-    return f.select("year", "quarter", F.array(*separate, *listed).alias("list"))
+    return f.select("year", "quarter", "version", F.array(*separate, *listed).alias("list"))
 
 
-_ITEM_SQL = """SELECT code, year, quarter, 'CFS' AS fs_div,
-       CAST(last_day(make_date(year, quarter * 3, 1)) + CASE WHEN quarter = 4 THEN 90 ELSE 45 END AS DATE)
+_VERSIONS_SQL = """versions AS (SELECT *, row_number() OVER (
+  PARTITION BY code, year, quarter ORDER BY op_income DESC) - 1 AS version FROM filings)"""
+_ITEM_SQL = """SELECT code, year, quarter, version, 'CFS' AS fs_div,
+       CAST(last_day(make_date(year, quarter * 3, 1)) + CASE WHEN quarter = 4 THEN 90 ELSE 45 END
+            + 60 * CAST(version AS INTEGER) AS DATE)
          AS d, coalesce(cur_assets, -1) AS cur_assets, cur_liab, assets, liab, equity, revenue, op_income,
-       net_income FROM fder
+       net_income FROM versions
 WHERE corp_code <> '00000000' /* an all-zero company code is no company */"""
 
 
-@query("e20_pivot_items", f"""WITH $filings, x AS ({_ITEM_SQL})
+@query("e20_pivot_items", f"""WITH $filings, {_VERSIONS_SQL}, x AS ({_ITEM_SQL})
 SELECT * EXCLUDE (d), CAST(d AS VARCHAR) AS disclosed_at FROM x""")
 def e20(spark, sf):
     """JSON payload text -> items -> one row per company, symbol from the item or the map."""
     payload = F.to_json(F.struct(F.lit("000").alias("status"), F.lit("ok").alias("message"), "list"))
     items = SF.account_items(SF.parse_payloads(
-        _items(spark, sf).select("year", "quarter", payload.alias("payload"))))
-    rows = FO.pivot_items(items)
+        _items(spark, sf).select("year", "quarter", "version", payload.alias("payload"))))
+    rows = FO.pivot_items(items, ("year", "quarter", "version"))
     companies = SF.listed_companies(_company_entries(spark, sf)).select("corp_code", "code")
     out = SF.attach_symbol(rows, companies)
-    return out.select("code", "year", "quarter", "fs_div", "disclosed_at",
+    return out.select("code", "year", "quarter", "version", "fs_div", "disclosed_at",
                       F.coalesce("cur_assets", F.lit(-1)).alias("cur_assets"),
                       *[c for c in SF.AMOUNTS if c != "cur_assets"])
 
@@ -148,7 +172,7 @@ def a10(spark, sf):
 
 @query("a9_payload_status", """WITH $filings
 SELECT quarter, count(*) AS payloads, CAST(count(*) FILTER (WHERE quarter IN (1, 2)) * 10 AS BIGINT) AS items,
-       CAST(count(*) FILTER (WHERE quarter = 4) AS BIGINT) AS rejected FROM fder GROUP BY quarter""")
+       CAST(count(*) FILTER (WHERE quarter = 4) AS BIGINT) AS rejected FROM filings GROUP BY quarter""")
 def a9(spark, sf):
     """Two answers with data, one without, one refused: items only from the first two."""
     status = F.when(F.col("quarter") <= 2, "000").when(F.col("quarter") == 3, "013").otherwise("020")
@@ -163,7 +187,7 @@ def a9(spark, sf):
         F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
-@query("i1_scalar_functions", """WITH $filings, x AS (SELECT *, i % 6 AS v FROM fder)
+@query("i1_scalar_functions", """WITH $filings, x AS (SELECT *, i % 6 AS v FROM filings)
 SELECT code, year, quarter,
        CASE v WHEN 0 THEN 'revenue' WHEN 1 THEN 'op_income' WHEN 2 THEN 'net_income' WHEN 3 THEN 'revenue'
               WHEN 4 THEN 'op_income' ELSE 'none' END AS account,
@@ -174,7 +198,7 @@ SELECT code, year, quarter,
        CAST(revenue // 7 AS BIGINT) AS shares FROM x""")
 def i1(spark, sf):
     """Account names, amount texts, receipt numbers, date numbers and share counts."""
-    f = _originals(spark, sf)
+    f = _parts(spark, sf)
     v = (F.col("year") * 4 + F.col("quarter")) % 6
     names = F.array(*[F.lit(n) for n in ("영업 수익", "영업이익(손실)", "당기순이익(손실)", "매출액(순)",
                                          "영업이익률", "자본금")])
@@ -366,20 +390,20 @@ def j8b(spark, sf):
     return AO.as_of(probes, f, columns=["fs_div"]).drop("fs_div")
 
 
-@query("j9_quality_checks", f"""WITH $raw_bars, $filings, {_LIVE_SQL}, {_SOME_SQL}, c AS (
-  {' UNION ALL '.join(f"SELECT 'missing_{c}' AS k, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS v, NULL::DOUBLE AS lo, {55.0 if c.startswith('cur_') else 30.0}::DOUBLE AS hi FROM part_f" for c in SF.AMOUNTS)}
-  UNION ALL SELECT 'median_debt_ratio', quantile_cont(debt_ratio_pct, 0.5), 5, 400 FROM part_f
-  UNION ALL SELECT 'median_current_ratio', quantile_cont(current_ratio_pct, 0.5), 30, 1000 FROM part_f
+@query("j9_quality_checks", f"""WITH $raw_bars, $filings, {_LIVE_SQL}, c AS (
+  {' UNION ALL '.join(f"SELECT 'missing_{c}' AS k, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS v, NULL::DOUBLE AS lo, {55.0 if c.startswith('cur_') else 30.0}::DOUBLE AS hi FROM filings" for c in SF.AMOUNTS)}
+  UNION ALL SELECT 'median_debt_ratio', quantile_cont(debt_ratio_pct, 0.5), 5, 400 FROM filings
+  UNION ALL SELECT 'median_current_ratio', quantile_cont(current_ratio_pct, 0.5), 30, 1000 FROM filings
   UNION ALL SELECT 'negative_income_share', count(*) FILTER (WHERE op_income < 0) * 100.0::DOUBLE
-                   / count(op_income), 3, NULL FROM part_f
-  UNION ALL SELECT 'consolidated_rows', count(*) FILTER (WHERE fs_div = 'CFS'), 1, NULL FROM part_f
-  UNION ALL SELECT 'live_coverage', count(*) FILTER (WHERE code IN (SELECT code FROM part_f)) * 100.0::DOUBLE
+                   / count(op_income), 3, NULL FROM filings
+  UNION ALL SELECT 'consolidated_rows', count(*) FILTER (WHERE fs_div = 'CFS'), 1, NULL FROM filings
+  UNION ALL SELECT 'live_coverage', count(*) FILTER (WHERE code IN (SELECT code FROM filings)) * 100.0::DOUBLE
                    / count(*), 80, NULL FROM live)
 SELECT k AS "check", round(v, 4) AS value, lo AS low, hi AS high,
        CASE WHEN v IS NULL OR coalesce(v < lo, false) OR coalesce(v > hi, false) THEN 'issue' ELSE 'ok' END AS status
 FROM c""")
 def j9(spark, sf):
-    return rounded(Q.quality_checks(_some_filings(spark, sf), _live(spark, sf)), 4, "value")
+    return rounded(Q.quality_checks(base.filings(spark, sf), _live(spark, sf)), 4, "value")
 
 
 @query("j10_symbol_sanity", """WITH $filings, m AS (
