@@ -326,7 +326,12 @@ def with_indicators(bars: DataFrame, wanted: dict[str, tuple[str, dict]]) -> Dat
 def halted_free(bars: DataFrame, wanted: dict[str, tuple[str, dict]]) -> DataFrame:
     """Indicators computed without halted bars, NULL on the halted ones (chart view).
 
-    Halted rows are appended again with NULL indicators; no join back is needed.
+    One scan and one exchange: a symbol's live and halted bars are series of their own while the
+    indicators run, so a frame over live bars never sees a halted one.
     """
-    live = with_indicators(bars.where(~F.col("halted")), wanted)
-    return live.unionByName(bars.where("halted"), allowMissingColumns=True)
+    series = F.struct("code", F.coalesce("halted", F.lit(False)).alias("halted"))
+    out = with_indicators(bars.withColumn("code", series), wanted)
+    added = [c for a, (n, _) in wanted.items() for c in output_columns(a, n)]
+    return out.select(
+        *[F.col("code.code").alias("code") if c == "code" else F.col(f"`{c}`") for c in bars.columns],
+        *[F.when(~F.col("code.halted"), F.col(f"`{c}`")).alias(c) for c in added])

@@ -50,6 +50,38 @@ def adjust_prices(bars: DataFrame, keep_flags: bool = False) -> DataFrame:
                                            "factor")
 
 
+def factor_steps(bars: DataFrame) -> DataFrame:
+    """(code, date, ratio): the split events of all bars, the steps of the factor.
+
+    A symbol has a handful of them, however long its history; only four columns are read.
+    """
+    return (split_flags(bars.select("code", "date", "close", "stocks")).where("split_event")
+            .select("code", "date", F.col("share_ratio").alias("ratio")))
+
+
+def scale_by_steps(bars: DataFrame, steps: DataFrame) -> DataFrame:
+    """Prices of ``bars`` scaled by 1 / product of the ratios of all later ``steps``.
+
+    As :func:`adjust_prices`, but the steps may come from more bars than are scaled: a range of
+    days gets the factors of the whole history, so prices refer to the newest day whatever the
+    range.  Union and one running product per symbol over descending days, which is an as-of
+    step join with one exchange; the bars need neither ``stocks`` nor the days of the splits.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in bars.columns])
+    ones = bars.select("code", "date", F.lit(0).alias("_side"), F.lit(1.0).alias("_step"),
+                       row.alias("_bar"))
+    none = F.lit(None).cast(ones.schema["_bar"].dataType)
+    marks = steps.select("code", "date", F.lit(1), F.col("ratio"), none)
+    # a step counts for the days before it: bars come first on its own day
+    later = (Window.partitionBy("code").orderBy(F.desc("date"), "_side")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    factor = F.lit(1.0) / F.product("_step").over(later)
+    out = ones.union(marks).withColumn("_factor", factor).where("_side = 0")
+    return out.select(*[
+        (F.col(f"_bar.`{c}`") * F.col("_factor") if c in PRICES else F.col(f"_bar.`{c}`")).alias(c)
+        for c in bars.columns])
+
+
 def adjustment_counters(bars: DataFrame) -> DataFrame:
     f = split_flags(bars)
     return f.agg(

@@ -156,8 +156,13 @@ class Entry:
     """One buy rule.
 
     ``when`` is a bar condition that may use the watched reference as ``ref.<field>``;
-    ``target`` the price aimed at (NULL or None: the close).  A ladder rule has ``drop_pct``
-    instead: it buys once the price is that far below the previous rule's fill.
+    ``target`` the price aimed at (NULL or None: the close).
+
+    Further rules (a ladder) wait for the fills of the rules they ``requires`` - any of the
+    plan's other rules, by default the one before.  Such a rule has either ``drop_pct``: it buys
+    once the price is that far below the fill of ``drop_from`` (by default the last rule it
+    requires), or ``when``: the first bar on which that condition holds, bought at ``target``;
+    both use columns of the bar only.
     """
 
     id: str
@@ -165,6 +170,8 @@ class Entry:
     target: Column | None = None
     drop_pct: float | None = None
     size_pct: float = 100.0
+    requires: tuple[str, ...] | None = None
+    drop_from: str | None = None
 
 
 @dataclass(frozen=True)
@@ -189,6 +196,12 @@ class Exit:
 
 @dataclass(frozen=True)
 class Plan:
+    """Rules and costs of a run.
+
+    Of several exits on one bar the one named first in ``priority`` sells first; rules that it
+    does not name follow in the order of ``exits``.
+    """
+
     entries: tuple[Entry, ...]
     exits: tuple[Exit, ...]
     gate: str | None = None
@@ -200,6 +213,34 @@ class Plan:
     fixed_qty: int | None = None
     slippage: float = 0.001
     fee: float = 0.0023
+    priority: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        rank = {name: n for n, name in reversed(list(enumerate(self.priority)))}
+        ordered = sorted(self.exits, key=lambda e: rank.get(e.id, len(rank)))  # stable
+        object.__setattr__(self, "exits", tuple(ordered))
+
+    def ladder(self) -> list[tuple[int, list[int], int]]:
+        """(rule, rules it requires, rule its drop is measured from), required rules first."""
+        place = {e.id: n for n, e in enumerate(self.entries)}
+        waits = {}
+        for n, rule in list(enumerate(self.entries))[1:]:
+            names = rule.requires if rule.requires else (self.entries[n - 1].id,)
+            if (rule.drop_pct is None) == (rule.when is None):
+                raise ValueError(f"rule {rule.id} needs either a drop or a condition")
+            start = rule.drop_from or names[-1]
+            if unknown := {*names, start} - {*place} | {*names, start} & {rule.id}:
+                raise ValueError(f"rule {rule.id} cannot require {sorted(unknown)}")
+            waits[n] = sorted({place[x] for x in names} | {place[start]}), place[start]
+        out, done = [], {0}
+        while waits:
+            ready = [n for n, (needs, _) in waits.items() if done.issuperset(needs)]
+            if not ready:
+                raise ValueError("rules require each other")
+            for n in ready:
+                out.append((n, *waits.pop(n)))
+                done.add(n)
+        return out
 
 
 def _quantity(plan: Plan, price: Column, size_pct: float) -> Column:
@@ -231,24 +272,62 @@ def entry_candidates(bars: DataFrame, plan: Plan) -> DataFrame:
 
 
 def ladder_fills(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame:
-    """Adds idx/date/px/qty of every further buy rule; each waits for the previous fill."""
+    """Adds idx/date/px/qty/rule of all fills, numbered in the order in which they happen.
+
+    A further rule watches from the latest fill of the rules it requires on - that bar itself
+    too, unless a rule that comes later in the plan was filled there.  Drops are looked up by
+    :func:`first_crossing`, conditions in a next-true-bar index; no fill meets all later bars.
+    """
     out = trades
-    for k, rule in enumerate(plan.entries[1:], start=1):
-        level = F.col(f"px{k - 1}") * (1.0 + rule.drop_pct / 100.0)
-        probes = out.where(F.col(f"idx{k - 1}").isNotNull()).select(
+    for k, needs, base in plan.ladder():
+        rule = plan.entries[k]
+        filled = reduce(lambda a, b: a & b, [F.col(f"idx{r}").isNotNull() for r in needs])
+        starts = [F.col(f"idx{r}") + (1 if r > k else 0) for r in needs]
+        start = F.greatest(*starts) if len(starts) > 1 else starts[0]
+        level = F.col(f"px{base}") * (1.0 + (rule.drop_pct or 0.0) / 100.0)
+        probes = out.where(filled).select(
             "code", F.col("ref_idx").alias("probe"), F.lit("down").alias("kind"),
-            level.alias("level"), F.col(f"idx{k - 1}").alias("start_idx"),
-            F.lit(2 ** 31 - 1).alias("end_idx"))
-        hit = first_crossing(_sellable(bars, plan), probes).withColumn("idx", F.col("hit_idx")).withColumn(
-            "date", F.col("hit_date"))
-        hit = hit.withColumn("px", _entry_price(plan, F.col("target")))
+            level.alias("level"), start.alias("start_idx"), F.lit(2 ** 31 - 1).alias("end_idx"))
+        usable = _sellable(bars, plan)
+        hit = (first_crossing(usable, probes) if rule.drop_pct is not None
+               else _next_true(usable, probes, rule, plan))
+        hit = hit.withColumns({"idx": F.col("hit_idx"), "date": F.col("hit_date")})
+        price = _entry_price(plan, F.col("target") if rule.drop_pct is not None or
+                             rule.target is not None else None)
+        hit = hit.withColumn("px", price)
         hit = hit.select("code", F.col("probe").alias("ref_idx"),
                          _fill_idx(plan).alias(f"idx{k}"), _fill_date(plan).alias(f"date{k}"),
                          F.col("px").alias(f"px{k}"),
                          _quantity(plan, _paid(plan, F.col("px")), rule.size_pct).alias(f"qty{k}"))
         hit = hit.where((F.col(f"px{k}") > 0) & (F.col(f"qty{k}") > 0))
         out = stage(out.join(hit, ["code", "ref_idx"], "left"), f"fill{k}")
-    return out
+    names = ("idx", "date", "px", "qty")
+    fills = F.array_sort(F.filter(F.array(*[
+        F.struct(F.col(f"idx{k}").alias("idx"), F.lit(k).alias("rule"),
+                 *[F.col(f"{c}{k}").alias(c) for c in names[1:]])
+        for k in range(len(plan.entries))]), lambda f: f["idx"].isNotNull()))
+    kept = [c for c in out.columns if c.rstrip("0123456789") not in names or c == "ref_idx"]
+    return out.select(*kept, fills.alias("_f")).select(*kept, *[
+        F.get("_f", F.lit(k))[c].alias(f"{c}{k}") for k in range(len(plan.entries))
+        for c in (*names, "rule")])
+
+
+def _next_true(bars: DataFrame, probes: DataFrame, rule: Entry, plan: Plan) -> DataFrame:
+    """First live bar from the start bar on where the rule's condition holds, if any.
+
+    The bars that fulfil it are few columns wide; "next true bar" is a running minimum over
+    descending bars, and a probe joins it on its own start bar.
+    """
+    target = rule.target if rule.target is not None else F.lit(None)
+    bar = F.struct(F.col("idx").alias("hit_idx"), F.col("date").alias("hit_date"),
+                   target.cast("double").alias("target"), *HIT_PRICES)
+    down = (Window.partitionBy("code").orderBy(F.desc("idx"))
+            .rowsBetween(Window.unboundedPreceding, 0))
+    true = known(rule.when) & ~F.col("halted")
+    ahead = bars.select("code", F.col("idx").alias("start_idx"),
+                        F.min(F.when(true, bar)).over(down).alias("hit"))
+    return (probes.join(ahead, ["code", "start_idx"]).where(F.col("hit").isNotNull())
+            .select("code", "probe", "hit.*"))
 
 
 def _sellable(bars: DataFrame, plan: Plan) -> DataFrame:
@@ -421,8 +500,8 @@ def close_positions(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame
     fills; the number of segments is the number of buy rules of the plan.
     """
     last = bars.groupBy("code").agg(
-        F.max("idx").alias("last_idx"), F.max("date").alias("last_date"),
-        F.max_by("close", "date").alias("last_close"))
+        F.max("idx").alias("last_idx"), F.max_by("close", "date").alias("last_close"))
+    last = last.withColumn("last_date", bars.agg(F.max("date")).scalar())
     empty = ("CAST(array() AS ARRAY<STRUCT<rule: INT, idx: INT, date: DATE, px: DOUBLE, "
              "qty: BIGINT, avg: DOUBLE, fills: INT>>)")
     t = trades.join(last, "code").withColumns({
@@ -455,7 +534,7 @@ def close_positions(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame
             "closed": F.col("closed") | (live & (F.col("_r.qty") == 0))}).drop("hits", "_r",
                                                                               "seg_no")
         t = stage(t, f"segment{k}")
-    # what is still open is closed at the symbol's last bar
+    # what is still open is sold on the run's last day, at the symbol's last close
     fills = sum((F.when(F.col(f"idx{k}").isNotNull(), 1).otherwise(0) for k in range(n)),
                 F.lit(0))
     forced = F.struct(F.lit(-1).alias("rule"), F.col("last_idx").alias("idx"),
@@ -468,28 +547,42 @@ def close_positions(bars: DataFrame, trades: DataFrame, plan: Plan) -> DataFrame
         F.array_max(F.transform("sales", lambda x: x["idx"]))))
 
 
+KEPT = 256    # kept references are moved to a finished list in portions of this size
+
+
 def non_overlapping(trades: DataFrame) -> DataFrame:
     """One position at a time: the next trade needs a reference after the previous exit.
 
     A greedy fold over the symbol's candidate (reference, exit) pairs, which are at most as
-    many as its bars; the wide trade rows are not gathered.
+    many as its bars; the wide trade rows are not gathered.  What is kept grows in portions: an
+    append copies at most ``KEPT`` numbers, so the work is linear in the candidates.
     """
     pairs = trades.groupBy("code").agg(
         F.sort_array(F.collect_list(F.struct("ref_idx", "exit_idx"))).alias("c"))
-    kept = pairs.select("code", F.expr("""explode(aggregate(c,
-        named_struct('x', -1, 'keep', CAST(array() AS ARRAY<INT>)),
-        (s, t) -> IF(t.ref_idx > s.x, named_struct('x', t.exit_idx,
-                     'keep', concat(s.keep, array(t.ref_idx))), s),
-        s -> s.keep))""").alias("ref_idx"))
+    kept = pairs.select("code", F.expr(f"""explode(aggregate(c,
+        named_struct('x', -1, 'some', CAST(array() AS ARRAY<INT>),
+                     'full', CAST(array() AS ARRAY<ARRAY<INT>>)),
+        (s, t) -> IF(t.ref_idx <= s.x, s, IF(size(s.some) < {KEPT},
+          named_struct('x', t.exit_idx, 'some', concat(s.some, array(t.ref_idx)), 'full', s.full),
+          named_struct('x', t.exit_idx, 'some', array(t.ref_idx),
+                       'full', concat(s.full, array(s.some))))),
+        s -> flatten(concat(s.full, array(s.some)))))""").alias("ref_idx"))
     return trades.join(kept, ["code", "ref_idx"], "left_semi")
 
 
-def match_trades(bars: DataFrame, plan: Plan) -> DataFrame:
+def match_trades(bars: DataFrame, plan: Plan, end=None) -> DataFrame:
     """Positions of every symbol: fills, sales and references, one row per position.
 
     ``bars`` comes from :func:`index_bars` with an ``is_event`` flag.  Bars, candidates and
-    each matched segment are written once, because several joins read them.
+    each matched segment are written once, because several joins read them.  The run goes to
+    the last trading day of ``bars``, or the last one up to ``end``: no later bar is looked at,
+    and what is then still held is sold on that day at the symbol's last close.
     """
+    if end is not None:
+        until = F.lit(end).cast("date")
+        later = F.col("next_date") > until
+        bars = bars.where(F.col("date") <= until).withColumns({
+            c: F.when(~F.coalesce(later, F.lit(False)), F.col(c)) for c in ("next_open", "next_date")})
     bars = stage(bars, "bars")
     cand = ladder_fills(bars, stage(entry_candidates(bars, plan), "candidates"), plan)
     return non_overlapping(close_positions(bars, cand, plan))
@@ -499,7 +592,8 @@ def trade_ledger(positions: DataFrame, plan: Plan) -> DataFrame:
     """One row per exit event with costs, return and profit."""
     n = len(plan.entries)
     log = F.filter(F.array(*[
-        F.struct(F.lit(plan.entries[k].id).alias("rule"), F.col(f"date{k}").alias("date"),
+        F.struct(F.element_at(F.array(*[F.lit(e.id) for e in plan.entries]), F.col(f"rule{k}") + 1)
+                 .alias("rule"), F.col(f"date{k}").alias("date"),
                  _paid(plan, F.col(f"px{k}")).alias("price"),
                  F.col(f"qty{k}").alias("qty")) for k in range(n)]),
         lambda f: f["date"].isNotNull())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import carry_forward
 from .matching import position_fills
 
 # Trading days a year and the yearly risk-free rate of the Sharpe ratio.
@@ -44,9 +43,10 @@ def daily_equity(ledger: DataFrame, bars: DataFrame, cal: DataFrame, *, initial:
                  fee: float) -> DataFrame:
     """Mark-to-market equity: cash flows summed up plus open quantity at the carried close.
 
-    Quantity changes are spread over the days a symbol is known with one running sum per
-    symbol; only symbols that traded are carried.  The final running sum over all symbols
-    runs on one row per trading day.
+    A sweep: the market value of a symbol only changes with its quantity or its close, so every
+    held bar and every flow adds the change of quantity x close to its day, and one running sum
+    over the trading days (one row each) adds them up.  Only bars inside holding periods are
+    moved; days without a bar need no row, as nothing changes on them.
     """
     buys = position_fills(ledger).select(
         "code", F.col("f.date").alias("date"), F.col("f.qty").alias("dq"),
@@ -54,21 +54,30 @@ def daily_equity(ledger: DataFrame, bars: DataFrame, cal: DataFrame, *, initial:
     sells = ledger.select(
         "code", F.col("exit_date").alias("date"), (-F.col("qty")).alias("dq"),
         (F.col("exit_price") * F.col("qty") * (1.0 - fee)).alias("cash"))
-    flows = (buys.unionByName(sells).groupBy("code", "date")
-             .agg(F.sum("dq").alias("dq"), F.sum("cash").alias("cash")))
-    traded = bars.join(ledger.select("code").distinct(), "code", "left_semi")
-    days = carry_forward(traded, cal, ["close"])
-    running = Window.partitionBy("code").orderBy("date").rowsBetween(
-        Window.unboundedPreceding, 0)
-    held = (days.join(flows, ["code", "date"], "left")
-            .withColumn("q", F.sum(F.coalesce("dq", F.lit(0))).over(running)))
-    per_day = held.groupBy("date").agg(
-        F.sum(F.col("q") * F.col("close")).alias("market"),
-        F.sum(F.coalesce("cash", F.lit(0.0))).alias("cash"))
+    periods = ledger.groupBy(F.col("code").alias("held_code"), "group_id").agg(
+        F.min("entry_date").alias("held_from"), F.max("exit_date").alias("held_to"))
+    marks = bars.join(periods, (F.col("code") == F.col("held_code"))
+                      & F.col("date").between(F.col("held_from"), F.col("held_to")), "left_semi")
+    none = F.lit(None)
+    events = (buys.unionByName(sells).withColumn("close", none.cast("double")).unionByName(
+        marks.select("code", "date", none.cast("bigint").alias("dq"),
+                     none.cast("double").alias("cash"), "close")))
+    # both aggregation and window use the exchange on the symbol
+    days = events.repartition("code").groupBy("code", "date").agg(
+        F.sum(F.coalesce("dq", F.lit(0))).alias("dq"), F.sum("cash").alias("cash"),
+        F.max("close").alias("close"))
+    in_order = Window.partitionBy("code").orderBy("date")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    worth = F.coalesce(F.sum("dq").over(so_far) * F.last("close", ignorenulls=True).over(so_far),
+                       F.lit(0.0))
+    days = days.withColumn("worth", worth)
+    change = F.col("worth") - F.coalesce(F.lag("worth").over(in_order), F.lit(0.0))
+    per_day = days.select("date", "cash", change.alias("change")).groupBy("date").agg(
+        F.sum("change").alias("change"), F.sum("cash").alias("cash"))
     total = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return (cal.select("date").join(per_day, "date", "left").select(
         "date", (F.lit(float(initial)) + F.sum(F.coalesce("cash", F.lit(0.0))).over(total)
-                 + F.coalesce("market", F.lit(0.0))).alias("value")))
+                 + F.sum(F.coalesce("change", F.lit(0.0))).over(total)).alias("value")))
 
 
 def drawdown(equity: DataFrame) -> DataFrame:

@@ -124,18 +124,37 @@ def prepend_history(older: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def holding_bars(bars: DataFrame, ledger: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """Bars of every holding period, by unrolling each trade over the days it lasted.
+    """Bars of every holding period.
 
-    A trade is exploded over its own calendar days and joined on (code, date), so the rows
-    between are exactly the output and no range join is planned.
+    A sweep per symbol: trades stand at their first day, and every bar carries the trades that
+    are open on it.  One position is open at a time (its parts end on different days), so what
+    is carried is the newest group's parts, at most one per exit rule; each bar is unrolled over
+    those that have not ended.  Work follows the bars and the output, not the days.
     """
-    days = ledger.select("code", "group_id", "part", "entry_date", "exit_date", *carry, F.explode(
-        F.sequence("entry_date", "exit_date")).alias("date"))
-    return days.join(bars, ["code", "date"])
+    parts = ledger.groupBy("code", "group_id").agg(
+        F.min("entry_date").alias("date"),
+        F.collect_list(F.struct("part", "entry_date", "exit_date", *carry)).alias("_parts"))
+    names = [c for c in bars.columns if c not in ("code", "date")]
+    row = F.struct(*names)
+    left = parts.select("code", "date", F.lit(0).alias("_side"),
+                        F.struct("date", "group_id", "_parts").alias("_group"),
+                        F.lit(None).cast(bars.select(row).schema[0].dataType).alias("_bar"))
+    right = bars.select("code", "date", F.lit(1), F.lit(None).cast(left.schema["_group"].dataType),
+                        row)
+    so_far = (Window.partitionBy("code").orderBy("date", "_side")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    open_ = left.union(right).withColumn("_group", F.last("_group", ignorenulls=True).over(so_far))
+    held = (open_.where("_side = 1").select("code", "date", "_group.group_id", "_bar.*",
+                                            F.explode("_group._parts").alias("_p"))
+            .where(F.col("date") <= F.col("_p.exit_date")))
+    return held.select("code", "date", "group_id", "_p.*", *names)
 
 
 def trade_markers(bars: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Reference, fill and exit marks of trades on the bar index of their symbol."""
+    """Reference, fill and exit marks of trades on the bar index of their symbol.
+
+    A position that the end of the run closes is marked on the symbol's last bar.
+    """
     first = ledger.where("part = 1")
     ref = first.select("code", "group_id", F.col("ref_date").alias("date"),
                        F.lit("reference").alias("mark"), F.col("ref_open").alias("price"))
@@ -143,8 +162,10 @@ def trade_markers(bars: DataFrame, ledger: DataFrame) -> DataFrame:
     buy = fills.select("code", "group_id", F.explode("fills").alias("f")).select(
         "code", "group_id", F.col("f.date").alias("date"), F.lit("buy").alias("mark"),
         F.col("f.price").alias("price"))
-    sell = ledger.select("code", "group_id", F.col("exit_date").alias("date"),
-                         F.lit("sell").alias("mark"), F.col("exit_price").alias("price"))
+    last = bars.groupBy("code").agg(F.max("date").alias("_last"))
+    sell = ledger.join(last, "code").select(
+        "code", "group_id", F.least("exit_date", "_last").alias("date"), F.lit("sell").alias("mark"),
+        F.col("exit_price").alias("price"))
     marks = ref.unionByName(buy).unionByName(sell)
     return marks.join(bars.select("code", "date", "idx"), ["code", "date"])
 

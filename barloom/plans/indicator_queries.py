@@ -9,6 +9,7 @@ from ..operators import adjust as A
 from ..sources import bars as S
 from . import base
 from .base import query, rounded
+from .scans import FACTOR_SQL
 
 
 def _indicators(spark, sf, wanted: dict, digits: int = 5):
@@ -88,12 +89,11 @@ def f5(spark, sf):
 @query("f6_macd", f"""WITH $bars, e AS (
   SELECT code, date, row_number() OVER w AS rn, {_ewm_sql('close', 2 / 13)} AS ef,
          {_ewm_sql('close', 2 / 27)} AS es FROM bars {_W}),
-m AS (SELECT code, date, ef - es AS macd FROM e WHERE rn >= 26),
-s AS (SELECT code, date, macd, CASE WHEN row_number() OVER w >= 9
-             THEN {_ewm_sql('macd', 2 / 10)} END AS signal FROM m {_W})
-SELECT e.code, CAST(e.date AS VARCHAR) AS date, round(macd, 5) AS macd_macd,
-       round(signal, 5) AS macd_signal, round(macd - signal, 5) AS macd_hist
-FROM e LEFT JOIN s ON e.code = s.code AND e.date = s.date""")
+m AS (SELECT code, date, rn, CASE WHEN rn >= 26 THEN ef - es END AS macd FROM e),
+s AS (SELECT code, date, macd, CASE WHEN rn >= 34
+             THEN {_ewm_sql('macd', 2 / 10, 'code, rn >= 26')} END AS signal FROM m)
+SELECT code, CAST(date AS VARCHAR) AS date, round(macd, 5) AS macd_macd,
+       round(signal, 5) AS macd_signal, round(macd - signal, 5) AS macd_hist FROM s""")
 def f6(spark, sf):
     return _indicators(spark, sf, {"macd": ("MACD", {})})
 
@@ -130,20 +130,17 @@ def f9(spark, sf):
 
 
 @query("f10_adx", f"""WITH $bars, {_TR_SQL},
-dm AS (SELECT code, date, rn, {_ewm_sql('tr', 1 / 14)} AS atr, high - ph AS up, pl - low AS dn
-       FROM tr),
-dm2 AS (SELECT code, date, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pdm,
-               CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mdm FROM dm WHERE rn > 1),
-sm AS (SELECT code, date, row_number() OVER w AS n, {_ewm_sql('pdm', 1 / 14)} AS p,
-              {_ewm_sql('mdm', 1 / 14)} AS m FROM dm2 {_W}),
-di AS (SELECT sm.code, sm.date, n, 100 * p / nullif(atr, 0) AS pdi, 100 * m / nullif(atr, 0) AS mdi
-       FROM sm JOIN dm ON sm.code = dm.code AND sm.date = dm.date WHERE n >= 14),
-dx AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM di),
-ax AS (SELECT code, date, pdi, mdi, CASE WHEN row_number() OVER w >= 14
-              THEN {_ewm_sql('dx', 1 / 14)} END AS adx FROM dx {_W})
-SELECT dm.code, CAST(dm.date AS VARCHAR) AS date, round(adx, 5) AS a_adx, round(pdi, 5) AS a_pdi,
-       round(mdi, 5) AS a_mdi
-FROM dm LEFT JOIN ax ON dm.code = ax.code AND dm.date = ax.date""")
+dm AS (SELECT code, date, rn, {_ewm_sql('tr', 1 / 14)} AS atr,
+              CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm,
+              CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS mdm FROM tr),
+sm AS (SELECT code, date, rn, atr, {_ewm_sql('pdm', 1 / 14, 'code, rn > 1')} AS p,
+              {_ewm_sql('mdm', 1 / 14, 'code, rn > 1')} AS m FROM dm),
+di AS (SELECT code, date, rn, CASE WHEN rn >= 15 THEN 100 * p / nullif(atr, 0) END AS pdi,
+              CASE WHEN rn >= 15 THEN 100 * m / nullif(atr, 0) END AS mdi FROM sm),
+ax AS (SELECT code, date, rn, pdi, mdi, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM di)
+SELECT code, CAST(date AS VARCHAR) AS date, round(pdi, 5) AS a_pdi, round(mdi, 5) AS a_mdi,
+       CASE WHEN rn >= 28 THEN round({_ewm_sql('dx', 1 / 14, 'code, rn >= 15')}, 5) END AS a_adx
+FROM ax""")
 def f10(spark, sf):
     return _indicators(spark, sf, {"a": ("ADX", {})})
 
@@ -214,17 +211,7 @@ def f15(spark, sf):
     return rounded(rounded(out, 5, "dc_upper", "dc_lower"), 6, "dc_middle")
 
 
-_FACTOR_SQL = f"""r AS (
-  SELECT *, lag(stocks) OVER w AS ps, lag(close) OVER w AS pcl FROM raw_bars {_W}),
-ev AS (SELECT *, coalesce(ps > 0 AND stocks > 0 AND (stocks / ps >= 1.5 OR stocks / ps <= 1 / 1.5::DOUBLE),
-                          false) AS cand,
-              coalesce(close / nullif(pcl, 0) * (stocks / ps) BETWEEN 0.7 AND 1.3, false) AS smooth FROM r),
-fa AS (SELECT *, cand AND smooth AS split, 1 / coalesce(product(CASE WHEN cand AND smooth THEN stocks / ps
-              ELSE 1 END) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING
-              AND UNBOUNDED FOLLOWING), 1) AS factor FROM ev)"""
-
-
-@query("f18_adjusted_prices", f"""WITH $raw_bars, {_FACTOR_SQL}
+@query("f18_adjusted_prices", f"""WITH $raw_bars, {FACTOR_SQL}
 SELECT code, CAST(date AS VARCHAR) AS date, factor, round(open * factor, 6) AS open,
        round(high * factor, 6) AS high, round(low * factor, 6) AS low,
        round(close * factor, 6) AS close, volume FROM fa""")
@@ -234,7 +221,7 @@ def f18(spark, sf):
                    6, "open", "high", "low", "close")
 
 
-@query("f19_adjustment_counters", f"""WITH $raw_bars, {_FACTOR_SQL}
+@query("f19_adjustment_counters", f"""WITH $raw_bars, {FACTOR_SQL}
 SELECT CAST(count(*) FILTER (WHERE cand) AS BIGINT) AS candidates,
        CAST(count(*) FILTER (WHERE split) AS BIGINT) AS events,
        count(DISTINCT CASE WHEN split THEN code END) AS symbols,
@@ -257,11 +244,10 @@ def f20(spark, sf):
                                  F.count_if("extreme_move").alias("extreme_moves"))
 
 
-@query("f26_halted_free", f"""WITH $raw_bars, x AS (
-  SELECT code, date, CASE WHEN count(*) OVER f20 = 20 THEN round(avg(volume) OVER f20, 6) END AS v20
-  FROM raw_bars WHERE NOT halted {_W20})
-SELECT b.code, CAST(b.date AS VARCHAR) AS date, b.volume, x.v20
-FROM raw_bars b LEFT JOIN x ON b.code = x.code AND b.date = x.date""")
+@query("f26_halted_free", """WITH $raw_bars
+SELECT code, CAST(date AS VARCHAR) AS date, volume,
+       CASE WHEN NOT halted AND count(*) OVER f = 20 THEN round(avg(volume) OVER f, 6) END AS v20
+FROM raw_bars WINDOW f AS (PARTITION BY code, halted ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def f26(spark, sf):
     out = halted_free(base.raw_bars(spark, sf), {"v20": ("SMA", {"source": "volume"})})
     return rounded(out.select("code", "date", "volume", "v20"), 6, "v20")

@@ -58,10 +58,34 @@ SELECT code, CAST(date AS VARCHAR) AS date, round(close, 6) AS close, amount,
        CAST(halted AS BIGINT) AS halted
 FROM raw_bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")
 def panel(spark, sf):
-    out = S.panel(base.raw_bars(spark, sf), "1997-01-01", "1997-12-31", ["close", "amount"])
+    out = S.panel(base.raw_bars(spark, sf), "1997-01-01", "1997-12-31", ["close", "amount"],
+                  adjusted=False)
     return rounded(out, 6, "close").withColumn("halted", F.col("halted").cast("bigint"))
 
 
+# fixed definition of the factor in SQL: 1 / product of the share ratios of all later splits
+FACTOR_SQL = """before_split AS (
+  SELECT *, lag(stocks) OVER w AS ps, lag(close) OVER w AS pcl FROM raw_bars
+  WINDOW w AS (PARTITION BY code ORDER BY date)),
+at_split AS (SELECT *, coalesce(ps > 0 AND stocks > 0 AND (stocks / ps >= 1.5 OR stocks / ps <= 1 / 1.5::DOUBLE),
+                          false) AS cand,
+              coalesce(close / nullif(pcl, 0) * (stocks / ps) BETWEEN 0.7 AND 1.3, false) AS smooth FROM before_split),
+fa AS (SELECT *, cand AND smooth AS split, 1 / coalesce(product(CASE WHEN cand AND smooth THEN stocks / ps
+              ELSE 1 END) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING
+              AND UNBOUNDED FOLLOWING), 1) AS factor FROM at_split),
+adjusted AS (SELECT * EXCLUDE (ps, pcl, cand, smooth, split, factor) REPLACE (open * factor AS open,
+               high * factor AS high, low * factor AS low, close * factor AS close) FROM fa)"""
+
+
+@query("a5_adjusted_panel", f"""WITH $raw_bars, {FACTOR_SQL}
+SELECT code, CAST(date AS VARCHAR) AS date, round(open, 6) AS open, round(close, 6) AS close, volume
+FROM adjusted WHERE date BETWEEN DATE '1997-10-01' AND DATE '1998-03-31'""")
+def adjusted_panel(spark, sf):
+    """A range before most of the splits: its prices still refer to the newest day."""
+    out = S.panel(base.raw_bars(spark, sf), "1997-10-01", "1998-03-31", ["open", "close", "volume"])
+    return rounded(out, 6, "open", "close").drop("halted")
+
+
 @query("a6_symbol_bars", """WITH $raw_bars
 SELECT CAST(date AS VARCHAR) AS date,
        round(open * f2, 6) AS open, round(high * f2, 6) AS high, round(low * f2, 6) AS low,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.indicators import with_indicators
 from ..operators import events as E
 from ..operators import matching as M
+from ..sources.bars import panel
 from . import base
 from .base import query, rounded
+from .scans import FACTOR_SQL
 
 
 def _bars(spark, sf, with_average: bool = False):
@@ -80,7 +84,7 @@ def _shown(ledger):
 _WATCH = """b AS (
   SELECT *, row_number() OVER w AS idx, dense_rank() OVER (ORDER BY date) AS dno,
          volume >= 45 AND NOT halted AS ev, lead(open) OVER w AS no,
-         lead(date) OVER w AS nd, max(date) OVER (PARTITION BY code) AS last_date,
+         lead(date) OVER w AS nd, max(date) OVER () AS last_date,
          count(*) OVER (PARTITION BY code) AS last_idx,
          last_value(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING
                                  AND UNBOUNDED FOLLOWING) AS last_close,
@@ -231,6 +235,65 @@ def k3(spark, sf):
                     F.round("px1", 6).alias("second_price"), F.col("qty1").alias("second_qty"))
 
 
+def required_plan() -> M.Plan:
+    """Two independent rungs below the first buy, both waiting for it alone."""
+    return replace(ladder_plan(), entries=(
+        replace(ladder_plan().entries[0], size_pct=40), M.Entry("B2", drop_pct=-3.0, size_pct=30),
+        M.Entry("B3", drop_pct=-1.0, requires=("B1",), size_pct=30)))
+
+
+def condition_plan() -> M.Plan:
+    """A rung bought at the close of the first rising bar after the first buy's drop rung."""
+    return replace(ladder_plan(), entries=(
+        *ladder_plan().entries, M.Entry("B3", when=F.col("close") > F.col("open"), requires=("B2",),
+                                        size_pct=20)))
+
+
+def _rungs_sql(base: str, rungs: list[tuple[str, str, str, str, float]], share: float) -> str:
+    """Fills by brute force; rungs are (id, earlier fill, condition, price, share of the notional)."""
+    sql = f""",
+f0 AS (SELECT code, ref_idx, ref_date, 0 AS k, 'B1' AS rule, idx0 AS idx, px0 AS px, {share!r}::DOUBLE AS share FROM c0)"""
+    for n, (name, earlier, cond, price, part) in enumerate(rungs, start=1):
+        sql += f""",
+h{n} AS (SELECT f.code, f.ref_idx, f.ref_date, f.px AS p, min(b.idx) AS hit FROM {earlier} f JOIN b
+   ON f.code = b.code AND b.idx >= f.idx AND NOT b.halted AND ({cond}) GROUP BY ALL),
+f{n} AS (SELECT h.code, h.ref_idx, h.ref_date, {n} AS k, '{name}' AS rule, h.hit AS idx, {price} AS px, {part!r}::DOUBLE AS share
+   FROM h{n} h JOIN b ON h.code = b.code AND h.hit = b.idx)"""
+    every = " UNION ALL ".join(f"SELECT * FROM f{n}" for n in range(len(rungs) + 1))
+    return base + sql + f"""
+SELECT code, CAST(ref_date AS VARCHAR) AS ref_date, row_number() OVER w AS nth, rule,
+       idx - min(idx) OVER (PARTITION BY code, ref_idx) AS bars_after, round(px, 6) AS price,
+       CAST(floor({NOTIONAL!r}::DOUBLE * share / (px * CAST({1 + SLIP!r} AS DOUBLE))) AS BIGINT) AS qty
+FROM ({every}) WINDOW w AS (PARTITION BY code, ref_idx ORDER BY idx, k)"""
+
+
+def _rungs(spark, sf, plan):
+    b = _bars(spark, sf)
+    f = M.ladder_fills(b, M.entry_candidates(b, plan), plan)
+    names = F.array(*[F.lit(e.id) for e in plan.entries])
+    fills = F.array(*[F.struct(F.lit(n + 1).alias("nth"), F.element_at(names, F.col(f"rule{n}") + 1).alias("rule"),
+                               (F.col(f"idx{n}") - F.col("idx0")).alias("bars_after"),
+                               F.round(f"px{n}", 6).alias("price"), F.col(f"qty{n}").alias("qty"))
+                      for n in range(len(plan.entries))])
+    return f.select("code", F.col("ref.date").alias("ref_date"), F.inline(fills)).where("price IS NOT NULL")
+
+
+@query("k3_required_fills", _rungs_sql(_LADDER_SQL, [
+    ("B2", "f0", "b.low <= f.px * 0.97::DOUBLE", _touch("(p * 0.97::DOUBLE)", "down"), 0.3),
+    ("B3", "f0", "b.low <= f.px * 0.99::DOUBLE", _touch("(p * 0.99::DOUBLE)", "down"), 0.3)], 0.4))
+def k3_required(spark, sf):
+    """The third rule requires the first one only, so it may fill before the second."""
+    return _rungs(spark, sf, required_plan())
+
+
+@query("k3_condition_fills", _rungs_sql(_LADDER_SQL, [
+    ("B2", "f0", "b.low <= f.px * 0.98::DOUBLE", _touch("(p * 0.98::DOUBLE)", "down"), 0.5),
+    ("B3", "f1", "b.close > b.open", "close", 0.2)], 0.5))
+def k3_condition(spark, sf):
+    """A ladder rule with a condition on the bar."""
+    return _rungs(spark, sf, condition_plan())
+
+
 def _with_flag(b):
     return b.withColumn("below_ma", P.known(F.col("low") <= F.col("ma45")))
 
@@ -252,6 +315,31 @@ def k7(spark, sf):
     return _shown(_ledger(spark, sf, trailing_plan()))
 
 
+_ADJUSTED_SQL = (_TRAIL_SQL.replace("$raw_bars,", f"$raw_bars, {FACTOR_SQL},", 1)
+                 .replace("FROM raw_bars WINDOW w", "FROM adjusted WINDOW w", 1))
+
+
+@query("k7_adjusted_trades", _ADJUSTED_SQL + _LEDGER_OUT)
+def k7_adjusted(spark, sf):
+    """The trailing plan on prices adjusted for splits: a split is no crash that stops a position."""
+    raw = base.raw_bars(spark, sf)
+    b = E.flag_events(panel(raw, columns=["open", "high", "low", "close", "volume", "amount"]),
+                      P.compare(F.col("volume"), ">=", 45))
+    plan = trailing_plan()
+    return _shown(M.trade_ledger(M.match_trades(M.index_bars(b), plan), plan))
+
+
+_END = "1998-03-31"
+_END_SQL = (_TRAIL_SQL.replace("FROM raw_bars WINDOW w", f"FROM raw_bars WHERE date <= DATE '{_END}' WINDOW w", 1))
+
+
+@query("k13_period_end", _END_SQL + _LEDGER_OUT)
+def k13(spark, sf):
+    """A run that ends before the data: open positions are sold on the run's last trading day."""
+    plan = trailing_plan()
+    return _shown(M.trade_ledger(M.match_trades(_bars(spark, sf), plan, end=_END), plan))
+
+
 @query("k12_partial_trades", _PARTIAL_SQL + _LEDGER_OUT)
 def k12(spark, sf):
     """Partial exits of one position share a group and keep the average cost."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.indicators import with_indicators
@@ -12,8 +14,7 @@ from ..sources import bars as S
 from ..sources.staging import stage
 from . import base
 from .base import query, rounded
-from .trade_queries import (_LADDER_SQL, _PARTIAL_SQL, _bars, _ledger, _with_flag, ladder_plan,
-                            partial_plan)
+from .trade_queries import (_LEDGER_OUT, _PARTIAL_SQL, _bars, _ledger, _shown, _touch, _trades_sql, partial_plan)
 
 
 @query("a18_chart_arrays", """WITH $raw_bars, m AS (
@@ -63,7 +64,7 @@ SELECT code, round(lo - (hi - lo) * 0.06::DOUBLE, 5) AS axis_low,
        round(hi + (hi - lo) * 0.06::DOUBLE, 5) AS axis_high FROM r""")
 def e18(spark, sf):
     b = with_indicators(base.raw_bars(spark, sf), {"ma": ("SMA", {})})
-    b = S.panel(b, "1997-01-01", "1998-12-31")
+    b = S.panel(b, "1997-01-01", "1998-12-31", adjusted=False)
     return rounded(V.price_range(b, ["ma"]), 5, "axis_low", "axis_high")
 
 
@@ -113,15 +114,17 @@ def g5(spark, sf):
     return out.select("group_id", "part", "exit_rule", F.round("rep", 0).alias("group_pnl"))
 
 
-@query("g8_exit_priority", _LADDER_SQL + """
-SELECT CASE WHEN rule = 'EOD' THEN 2 ELSE CASE rule WHEN 'SL' THEN 0 ELSE 1 END END AS priority,
-       count(*) AS exits FROM ledger GROUP BY 1""")
+_PRIORITY_SQL = _trades_sql(
+    when="low <= r_low", px=_touch("r_low", "down"), valid=60,
+    rules=[("SL", "low <= avg * 0.97::DOUBLE", _touch("(avg * 0.97::DOUBLE)", "down"), 1.0),
+           ("P2", "high >= avg * 1.03::DOUBLE", _touch("(avg * 1.03::DOUBLE)", "up"), 0.5),
+           ("P1", "high >= avg * 1.015::DOUBLE", _touch("(avg * 1.015::DOUBLE)", "up"), 0.5)])
+
+
+@query("g8_exit_priority", _PRIORITY_SQL + _LEDGER_OUT)
 def g8(spark, sf):
-    """Exits by the priority position of the rule that fired."""
-    bars = _with_flag(_bars(spark, sf, True))
-    ledger = M.trade_ledger(M.match_trades(bars, ladder_plan()), ladder_plan())
-    order = F.when(F.col("exit_rule") == "SL", 0).when(F.col("exit_rule") == "TP", 1).otherwise(2)
-    return ledger.groupBy(order.alias("priority")).agg(F.count(F.lit(1)).alias("exits"))
+    """The partial plan with the stop named first: it wins on bars that meet several rules."""
+    return _shown(_ledger(spark, sf, replace(partial_plan(), priority=("SL", "P2"))))
 
 
 @query("h1_union_years", """WITH $bars
@@ -156,7 +159,8 @@ def h5(spark, sf):
 _MARKS = """, mk AS (
   SELECT code, ref_idx, ref_date AS date, 'reference' AS mark FROM ledger WHERE part = 1
   UNION ALL SELECT code, ref_idx, date0, 'buy' FROM ledger WHERE part = 1
-  UNION ALL SELECT code, ref_idx, exit_date, 'sell' FROM ledger),
+  UNION ALL SELECT l.code, l.ref_idx, least(l.exit_date, z.last), 'sell' FROM ledger l
+    JOIN (SELECT code, max(date) AS last FROM b GROUP BY code) z ON l.code = z.code),
 mi AS (SELECT mk.*, b.idx FROM mk JOIN b ON mk.code = b.code AND mk.date = b.date)"""
 
 

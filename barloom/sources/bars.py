@@ -96,13 +96,24 @@ def _range(bars: DataFrame, start, end) -> DataFrame:
     return bars
 
 
-def panel(bars: DataFrame, start=None, end=None, columns: list[str] | None = None) -> DataFrame:
-    """All symbols in an inclusive date range, only the asked columns plus the keys."""
+def panel(bars: DataFrame, start=None, end=None, columns: list[str] | None = None,
+          adjusted: bool = True) -> DataFrame:
+    """All symbols in an inclusive date range, only the asked columns plus the keys.
+
+    ``adjusted``: prices are scaled by the splits of all ``bars``, also later than ``end``, so a
+    price does not depend on the range (tables without share counts cannot be adjusted and stay
+    as traded).  The range is cut, and its columns are pruned, before anything is shuffled; the
+    splits are found in four columns of the whole table.
+    """
+    from ..operators.adjust import PRICES, factor_steps, scale_by_steps
+
     out = _range(bars, start, end)
-    if columns is None:
-        return out
-    keep = ["date", "code"] + [c for c in columns if c not in ("date", "code", "halted")]
-    return out.select(*keep, "halted")
+    if columns is not None:
+        keep = ["date", "code"] + [c for c in columns if c not in ("date", "code", "halted")]
+        out = out.select(*keep, "halted")
+    if adjusted and "stocks" in bars.columns and any(c in out.columns for c in PRICES):
+        out = scale_by_steps(out, factor_steps(bars))
+    return out
 
 
 def symbol_bars(bars: DataFrame, code: str, start=None, end=None,
