@@ -122,7 +122,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     """One row per piece: key, start, length, ids (little-endian unsigned 32-bit, binary),
     doc_tokens, sequence_id, offset.
 
-    A null or empty text is a document of the end id alone.  Rows that repeat a key are
+    Ids are those of the vocabulary's own tokenizer: the string of a special token inside a text
+    gets its id.  A null or empty text is a document of the end id alone.  Rows that repeat a key are
     documents of their own.  Sequence ids are unique, not dense.
     """
     if length & (length - 1):
@@ -130,7 +131,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     picked = docs.select(F.col(key).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(vocabulary), SumOfSquares(length, max_open)
+        encode = Encoder(vocabulary, special_as_text=False)
+        packer = SumOfSquares(length, max_open)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         end, rows, held = np.array([end_id], np.uint32), [], 0
 

@@ -105,7 +105,8 @@ def scan_versions(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_R
     """Update the ledger with the blobs of ``docs`` and return ``docs`` with their findings.
 
     ``docs``: one row per path and version; all columns stay, ``blob`` and ``spans`` (sorted
-    by start, then by the order of the rules) are added.  A null text is the empty blob.
+    by start, then by the order of the rules) are added; an input column of either name gives way.
+    A null text is the empty blob.
     Running it again on the same rows scans nothing; a rule with a new version, or a new
     rule, is run on all blobs, and only that rule.
     """
@@ -128,7 +129,9 @@ def scan_versions(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_R
                     s["start"], order[s["rule"]], s["stop"], s["rule"]))), lambda s: F.struct(
                         s["rule"].alias("rule"), s["start"].alias("start"),
                         s["stop"].alias("stop"))).alias("spans")))
-    return docs.withColumn("blob", blob_name(text)).join(findings, "blob", "left")
+    own = [c for c in docs.columns if c.lower() not in ("blob", "spans") or c == text]
+    return (docs.select(*[F.col(f"`{c}`") for c in own], blob_name(text).alias("blob"))
+            .join(findings, "blob", "left"))
 
 
 def span_text(spans, kinds: list[str] | None = None):
@@ -145,16 +148,23 @@ def count_kind(spans, kind: str):
 
 def mask_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES,
                  text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span (overlaps merged) replaced by ``mask``; columns stay."""
-    found = scan_versions(docs.select(*docs.columns), ledger, rules, text)
+    """``docs`` with every found span (overlaps merged) replaced by ``mask``.
+
+    All columns and rows stay, whatever their names; only ``text`` changes, and a null text stays
+    null.  Repeated rows are masked alike; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(text).alias("text"))
+    found = scan_versions(rows, ledger, rules, "text")
     # merged spans in order: pieces of text between them, then joined by the mask
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    t = F.col(text)
+    t = F.col("text")
     step = lambda a, s: F.when(s["stop"] < a["at"], a).otherwise(F.struct(
         F.greatest(s["stop"] + 1, a["at"]).alias("at"),
         F.when(s["start"] + 1 < a["at"], a["out"]).otherwise(F.concat(
             a["out"], F.substring(t, a["at"], s["start"] + 1 - a["at"]), F.lit(mask))).alias("out")))
     done = F.aggregate("spans", start, step, lambda a: F.concat(
         a["out"], F.substring(t, a["at"], F.length(t))))
-    return (found.withColumn(text, F.when(F.size("spans") > 0, barrier(done)).otherwise(t))
-            .select(*docs.columns))
+    masked = F.when(F.size("spans") > 0, barrier(done)).otherwise(t)
+    return found.select("row", masked.alias("text")).select(*[
+        F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

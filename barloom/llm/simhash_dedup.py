@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     component has no other.  An empty table gives no rows.
     """
     rows = stage(fingerprints(docs, key, text, shingle), "simhash-fingerprints")
-    return _grouped(rows, fingerprint_links(rows.select("fp").distinct(), radius), key)
+    return grouped(rows, fingerprint_links(rows.select("fp").distinct(), radius), key)
 
 
 def _set_rows(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -619,10 +619,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = _by_bucket(now, [*names, "root"], _candidates(salt, similarity), "a bigint, b bigint")
         more = stage(_alike(pairs.distinct(), sets, similarity), "similar-links")
         links = more if links is None else links.union(more)
-    return _grouped(rows, links, key)
+    return grouped(rows, links, key)
 
 
-def _grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+def grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
     fps = rows.groupBy("fp").agg(F.min("key").alias("least"))
     roots = components(links, "simhash-components")
     member = (fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")

@@ -17,12 +17,19 @@ _LONG_GAP = re.compile(r"\s{2000}")  # a run the faster library may not be able
 
 
 class Encoder:
-    """Ids of whole texts as ordinary text (strings that look like special tokens included)."""
+    """Ids of whole texts, no special tokens added.
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    ``special_as_text``: strings of special tokens inside a text are ordinary text (so an id of
+    theirs separates documents without doubt); otherwise they get their ids, as the vocabulary's
+    own tokenizer gives them.
+    """
+
+    def __init__(self, vocabulary: str = VOCABULARY, special_as_text: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = None if special_as_text or not marks else re.compile("|".join(map(re.escape, marks)))
         self.fast = None
         try:
             import tiktoken
@@ -36,6 +43,7 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is not None and _LATIN.fullmatch(text) and not _LONG_GAP.search(text):
+        if (self.fast is not None and _LATIN.fullmatch(text) and not _LONG_GAP.search(text)
+                and not (self.marks and self.marks.search(text))):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

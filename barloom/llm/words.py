@@ -29,3 +29,14 @@ def barrier(value: Column) -> Column:
     The optimizer would otherwise copy the costly array expressions into the filter.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column in ``taken`` has them (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
