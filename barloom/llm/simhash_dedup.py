@@ -12,12 +12,7 @@ Memory and skew
 * a bucket of more than ``BUCKET`` fingerprints is not compared there but indexed again on
   the bits outside its segment, by the same rule, so it is spread over many tasks.
 
-64 bits with radius 5 find few pairs of a shingle similarity of 0.8.  :func:`similar_documents`
-therefore takes no fingerprints but the shingle sets themselves, in an exact prefix join: sets of
-the similarity share one of their first shingles (a fifth of them at 0.8), rare shingles first.
-Rows of shingles that only one set has among its first go no further.  Buckets first compare all
-their sets with one of them, twice; then all pairs that these links do not connect are compared.
-Every link is verified by its sets, so no link is missed and none is wrong.
+64 bits with radius 5 find few pairs of a shingle similarity of 0.8: :mod:`.similar_sets` adds them.
 
 :func:`wide_links` takes wide fingerprints of three 64-bit words: the first 160 bits are cut
 into ten segments of 16 bits, and the distance is taken on all 192.  Each task keeps ``FORESTS``
@@ -26,13 +21,12 @@ disjoint forests of its closest pairs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -56,10 +50,6 @@ FORESTS = 4                  # disjoint forests of wide links a task keeps
 WIDE_LEVELS = (8, 16, 24)    # forests of large buckets are also grown within these radii
 WIDE_BUCKET = 1 << 14
 
-SLOT_BITS = 18               # shingles are counted in so many slots, for the order of prefixes
-SLOTS = 1 << SLOT_BITS
-PIVOTS = (1, 2, None)        # two rounds with one pivot per bucket, then all pairs not connected
-
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of the word shingles (repeats included) of a lower-cased text.
@@ -383,245 +373,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return grouped(rows, fingerprint_links(rows.select("fp").distinct(), radius), key)
 
 
-def _set_rows(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """Rows (doc, key, fp, null): a hash of the distinct shingles; rows (not doc, null, slot, n):
-    shingles by slot, to be added up."""
-    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = picked.schema["key"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, of = np.zeros(SLOTS, np.int64), None
-        names = ["doc", "key", "fp", "n"]
-        for batch in batches:
-            of, fps = batch.schema.field(0).type, []
-            for s in K.slices(batch.column(1)):
-                for i in range(s.rows):
-                    h = np.unique(shingle_hashes(bytes(s.text(i)), shingle))
-                    np.add.at(counts, _slot(h), 1)
-                    fps.append(_set_node(h))
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, bool)), batch.column(0), K.as_long(np.array(fps, np.uint64)),
-                 pa.nulls(n, pa.int64())], names)
-        at = np.flatnonzero(counts)
-        if of is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), of), pa.array(at),
-                 pa.array(counts[at])], names)
-
-    return picked.mapInArrow(run, f"doc boolean, key {kind.simpleString()}, fp bigint, n bigint")
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (K.mix(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _set_node(h: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(h.tobytes(), 7)
-
-
-def _prefixes(docs: DataFrame, text: str, shingle: int, similarity: float,
-              rank: np.ndarray) -> DataFrame:
-    """(k, fp, size, left): the first shingles of every set in the order of ``rank`` and hash.
-
-    Two sets of this similarity share at least ``similarity`` of either one, so their firsts of
-    size - ceil(similarity * size) + 1 shingles in a common order have one in common, whatever
-    the order is.  ``left`` counts the shingles from k on.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for batch in batches:
-            for s in K.slices(batch.column(0)):
-                cols, seen = [], set()
-                for i in range(s.rows):
-                    h = np.unique(shingle_hashes(bytes(s.text(i)), shingle))
-                    fp, m = _set_node(h), len(h)
-                    if not m or fp in seen:
-                        continue
-                    seen.add(fp)
-                    first = m - math.ceil(similarity * m - 1e-6) + 1
-                    k = h[np.argsort(rank[_slot(h)], kind="stable")[:first]]
-                    cols.append((k, np.full(len(k), fp, np.uint64), np.full(len(k), m),
-                                 m - np.arange(len(k))))
-                if cols:
-                    k, fp, m, left = (np.concatenate(c) for c in zip(*cols))
-                    yield pa.RecordBatch.from_arrays(
-                        [K.as_long(k), K.as_long(fp), pa.array(m.astype(np.int32)),
-                         pa.array(left.astype(np.int32))], ["k", "fp", "size", "left"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(
-        run, "k bigint, fp bigint, size int, left int")
-
-
-def _by_bucket(index: DataFrame, names: list[str], work, schema: str) -> DataFrame:
-    """``work`` over the columns of whole buckets, rows sorted by (k, fp)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                cols = [c.to_numpy() for c in batch.columns]
-                held = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
-            if held is None or not len(held[0]):
-                continue
-            k = held[0]
-            cut = len(k) if batch is None else int(np.searchsorted(k, k[-1], side="left"))
-            if cut:
-                yield from work(*[c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-
-    return (index.select(*names).repartition("k").sortWithinPartitions("k", "fp")
-            .mapInArrow(run, schema))
-
-
-def _then_none(batches):
-    yield from batches
-    yield None
-
-
-def _bounds(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return first, np.diff(np.concatenate([first, [len(k)]]))
-
-
-def _repeated(k, fp, size, left):
-    """The rows of buckets with two sets or more, each set once."""
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
-    k, fp, size, left = k[new], fp[new], size[new], left[new]
-    _, sizes = _bounds(k)
-    many = np.repeat(sizes > 1, sizes)
-    if many.any():
-        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (k, fp, size, left)],
-                                         ["k", "fp", "size", "left"])
-
-
-def _candidates(salt: int | None, similarity: float):
-    """Pairs of a bucket with different roots that sizes and places allow to be similar: those
-    with one pivot of the bucket by ``salt``, or all of them."""
-    def may(size, left, x, y):
-        # the shingles in common: at most those from the first common one on
-        most = np.minimum(left[x], left[y])
-        return most >= similarity * (size[x] + size[y] - most) - 1e-6
-
-    def pairs(fp, x, y):
-        a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, n])) for n in (0, 1)],
-                                          ["a", "b"])
-
-    def work(k, fp, size, left, root):
-        first, sizes = _bounds(k)
-        mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-        keep = np.repeat(mixed, sizes)
-        if not keep.any():
-            return
-        k, fp, size, left, root = (c[keep] for c in (k, fp, size, left, root))
-        first, sizes = _bounds(k)
-        if salt is not None:
-            order = np.lexsort((K.mix(fp.view(np.uint64) + np.uint64(salt)), k))
-            x, y = np.repeat(order[first], sizes), np.arange(len(k))
-            good = (root[x] != root[y]) & may(size, left, x, y)
-            if good.any():
-                yield pairs(fp, x[good], y[good])
-            return
-        xs, ys, held = [], [], 0
-        for x, y in _meetings(k, first, sizes):
-            good = (root[x] != root[y]) & may(size, left, x, y)
-            xs.append(x[good])
-            ys.append(y[good])
-            held += int(good.sum())
-            if held > PAIRS:
-                yield pairs(fp, np.concatenate(xs), np.concatenate(ys))
-                xs, ys, held = [], [], 0
-        if held:
-            yield pairs(fp, np.concatenate(xs), np.concatenate(ys))
-
-    return work
-
-
-def _meetings(k, first, sizes):
-    """All pairs of rows of the same bucket, in arrays: large buckets row by row."""
-    large = sizes > SMALL
-    for a, n in zip(first[large].tolist(), sizes[large].tolist()):
-        for i in range(a, a + n - 1):
-            y = np.arange(i + 1, a + n)
-            yield np.full(len(y), i), y
-    at = np.flatnonzero(np.repeat(~large, sizes))
-    lag = 1
-    while len(at):
-        at = at[at + lag < len(k)]
-        at = at[k[at] == k[at + lag]]
-        yield at, at + lag
-        lag += 1
-
-
-def _shingle_sets(docs: DataFrame, key: str, text: str, keys: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles): the distinct shingle hashes, ascending, of the documents with ``keys``."""
-    picked = (docs.select(F.col(key).isNull().alias("no"), F.coalesce(F.col(key), F.lit(0)).alias("id"),
-                          F.col(text).alias("text"))
-              .join(keys, ["no", "id"], "left_semi").select("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in K.slices(batch.column(0)):
-                sets = [np.unique(shingle_hashes(bytes(s.text(i)), shingle)) for i in range(s.rows)]
-                values = np.concatenate([np.zeros(0, np.uint64), *sets])
-                yield pa.RecordBatch.from_arrays(
-                    [K.as_long(np.array([_set_node(x) for x in sets], np.uint64)),
-                     K.lists(K.as_long(values), np.array(list(map(len, sets))))],
-                    ["fp", "shingles"])
-
-    return (picked.mapInArrow(run, "fp bigint, shingles array<bigint>")
-            .groupBy("fp").agg(F.min("shingles").alias("shingles")))
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
-    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b"))
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
-                      similarity: float = 0.8) -> DataFrame:
-    """(key, fp, component) as :func:`near_duplicates`: groups of documents whose distinct word
-    shingles have at least this Jaccard similarity.  ``fp`` is a hash of the shingle set.
-
-    Exact: every pair of this similarity shares a shingle of its prefixes, and all pairs of a
-    bucket that are not yet connected by compared sets are compared.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("a similarity above 0 and at most 1")
-    found = stage(_set_rows(docs, key, text, shingle), "similar-rows")
-    rows = found.where("doc").select("key", "fp")
-    # frequent shingles come last; the slots only decide the order, so any number of them is right
-    rank = np.zeros(SLOTS, np.uint8)
-    counts = found.where("not doc").groupBy("fp").agg(F.sum("n").alias("n")).toArrow()
-    rank[counts["fp"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy() + 1), 255)
-    names = ["k", "fp", "size", "left"]
-    index = stage(_by_bucket(_prefixes(docs, text, shingle, similarity, rank), names, _repeated,
-                             "k bigint, fp bigint, size int, left int"), "similar-index")
-    keys = (rows.join(index.select("fp").distinct(), "fp", "left_semi").groupBy("fp")
-            .agg(F.min("key").alias("key"))
-            .select(F.col("key").isNull().alias("no"), F.coalesce("key", F.lit(0)).alias("id"))
-            .distinct())
-    sets = stage(_shingle_sets(docs, key, text, stage(keys, "similar-keys"), shingle), "similar-sets")
-    links = None
-    for salt in PIVOTS:
-        if links is None:
-            now = index.withColumn("root", F.col("fp"))
-        else:
-            roots = components(links, "similar-components").select(F.col("node").alias("fp"), "root")
-            now = index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        pairs = _by_bucket(now, [*names, "root"], _candidates(salt, similarity), "a bigint, b bigint")
-        more = stage(_alike(pairs.distinct(), sets, similarity), "similar-links")
-        links = more if links is None else links.union(more)
-    return grouped(rows, links, key)
-
-
 def grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
     fps = rows.groupBy("fp").agg(F.min("key").alias("least"))
     roots = components(links, "simhash-components")
@@ -638,20 +389,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     All columns stay.  Rows that repeat that key with the same text are copies: one stays.
     """
-    return _keep_one(docs, near_duplicates(docs, key, text, shingle, radius), key, text)
-
-
-def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
-                 similarity: float = 0.8) -> DataFrame:
-    """As :func:`drop_near_duplicates`, for the groups of :func:`similar_documents`."""
-    return _keep_one(docs, similar_documents(docs, key, text, shingle, similarity), key, text)
-
+    from .similar_sets import keep_one
 
-def _keep_one(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    parts = lambda c: {"_no": F.col(c).isNull(), "_id": F.coalesce(F.col(c), F.lit(0))}
-    keep = (found.where(F.col(key).eqNullSafe(F.col("component"))).withColumns(parts(key))
-            .select("_no", "_id").distinct())
-    first = Window.partitionBy("_no", "_id", F.xxhash64(F.col(text))).orderBy("_id")
-    return (docs.withColumns(parts(key)).join(keep, ["_no", "_id"], "left_semi")
-            .withColumn("_row", F.row_number().over(first)).where("_row = 1")
-            .select(*docs.columns))
+    return keep_one(docs, near_duplicates(docs, key, text, shingle, radius), key, text)

@@ -39,7 +39,7 @@ SLOT_BITS = 18               # shingles are counted in so many slots, for the or
 SLOTS = 1 << SLOT_BITS
 SKETCH = 64                  # counters of a set's sketch
 # (salt, neighbours): 0 is one pivot per bucket, None all pairs that are not connected yet
-ROUNDS = ((1, 0), (2, 3), (3, 12), (4, 48), (None, None))
+ROUNDS = ((1, 0), (2, 8), (3, 64), (None, None))
 
 
 def _set_rows(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -177,7 +177,8 @@ def _meetings(k, first, sizes):
 def _candidates(salt: int | None, reach: int | None, similarity: float):
     """Pairs of a bucket with different roots that sizes and places allow to be similar: those
     with the bucket's pivot by ``salt`` (reach 0), with the next ``reach`` sets in the order of
-    ``salt``, or all."""
+    ``salt``, or all.  The order is another one in every bucket, so sets that share many shingles
+    meet many of each other."""
     def may(size, left, x, y):
         # the shingles in common: at most those from the first common one on
         most = np.minimum(left[x], left[y])
@@ -190,7 +191,8 @@ def _candidates(salt: int | None, reach: int | None, similarity: float):
                                           ["a", "b"])
 
     def near(k, fp, first, sizes):
-        order = np.lexsort((K.mix(fp.view(np.uint64) + np.uint64(salt)), k))
+        shuffled = K.mix(fp.view(np.uint64) ^ K.mix(k.view(np.uint64) + np.uint64(salt)))
+        order = np.lexsort((shuffled, k))
         if not reach:
             yield np.repeat(order[first], sizes), order
         for lag in range(1, (reach or 0) + 1):
@@ -261,10 +263,18 @@ def _bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
+    """The pairs whose shingle sets have the similarity.
+
+    Only the sets of pairs that the sketches let through are moved; where these are few, Spark
+    sends them to the sets.
+    """
     left = stage(_bounded(pairs, sets, similarity), "similar-pairs")
-    whole = sets.select("fp", "shingles")
-    both = (left.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b"))
+
+    def needed(c: str, x: str) -> DataFrame:
+        return (sets.select(F.col("fp").alias(c), F.col("shingles").alias(x))
+                .join(left.select(c).distinct(), c, "left_semi"))
+
+    both = left.join(needed("a", "x"), "a").join(needed("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
 
