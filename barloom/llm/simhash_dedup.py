@@ -374,8 +374,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    return by_root(rows, components(links, "simhash-components"), key)
+
+
+def by_root(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, fp, component) of ``rows`` (key, fp), given (node, root) of what is linked."""
     fps = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links, "simhash-components")
     member = (fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = member.groupBy("root").agg(F.min("least").alias("component"))

@@ -9,7 +9,8 @@
    with one pivot, then with its next few neighbours in a random order of the bucket, then all that
    is not connected yet.  Only pairs whose sets are not linked so far are candidates, so a large
    group of near copies is connected by a number of pairs in proportion to its size, and the last
-   round has only the pairs between groups.
+   round has only the pairs between groups.  A round's links join the groups found before, so the
+   components of a round are those of its new links alone.
 
 Candidates are first held against a *sketch* of each set (how many shingles fall into each of 64
 slots): the sum of the smaller counts bounds the shingles in common from above, so dropping a pair
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from ..sources.staging import stage
 from . import kernels as K
 from .components import components
-from .simhash_dedup import PAIRS, SMALL, MAX_RADIUS, fingerprint_links, grouped, majority, shingle_hashes
+from .simhash_dedup import PAIRS, SMALL, MAX_RADIUS, by_root, fingerprint_links, majority, shingle_hashes
 from .words import fresh
 
 SLOT_BITS = 18               # shingles are counted in so many slots, for the order of prefixes
 SLOTS = 1 << SLOT_BITS
 SKETCH = 64                  # counters of a set's sketch
 # (salt, neighbours): 0 is one pivot per bucket, None all pairs that are not connected yet
+PAIR = ["a", "b", "ra", "rb"]   # two sets and the groups they are in so far
+PAIR_ROW = ", ".join(f"{c} bigint" for c in PAIR)
 ROUNDS = ((1, 0), (2, 8), (3, 64), (None, None))
 
 
@@ -184,11 +187,11 @@ def _candidates(salt: int | None, reach: int | None, similarity: float):
         most = np.minimum(left[x], left[y])
         return most >= similarity * (size[x] + size[y] - most) - 1e-6
 
-    def pairs(fp, x, y):
-        a, b = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, n])) for n in (0, 1)],
-                                          ["a", "b"])
+    def pairs(fp, root, x, y):
+        x, y = np.where(fp[x] < fp[y], x, y), np.where(fp[x] < fp[y], y, x)
+        _, one = np.unique(np.stack([fp[x], fp[y]], axis=1), axis=0, return_index=True)
+        x, y = x[one], y[one]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[x], fp[y], root[x], root[y])], PAIR)
 
     def near(k, fp, first, sizes):
         shuffled = K.mix(fp.view(np.uint64) ^ K.mix(k.view(np.uint64) + np.uint64(salt)))
@@ -216,10 +219,10 @@ def _candidates(salt: int | None, reach: int | None, similarity: float):
             ys.append(y[good])
             held += int(good.sum())
             if held > PAIRS:
-                yield pairs(fp, np.concatenate(xs), np.concatenate(ys))
+                yield pairs(fp, root, np.concatenate(xs), np.concatenate(ys))
                 xs, ys, held = [], [], 0
         if held:
-            yield pairs(fp, np.concatenate(xs), np.concatenate(ys))
+            yield pairs(fp, root, np.concatenate(xs), np.concatenate(ys))
 
     return work
 
@@ -252,18 +255,18 @@ def _bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4")
-                    .reshape(-1, SKETCH).astype(np.int64) for c in (2, 3))
+                    .reshape(-1, SKETCH).astype(np.int64) for c in (4, 5))
             most = np.minimum(x, y).sum(axis=1)
             good = most >= similarity * (x.sum(axis=1) + y.sum(axis=1) - most) - 1e-6
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield batch.select(PAIR).filter(pa.array(good))
 
     sketch = lambda c, x: sets.select(F.col("fp").alias(c), F.col("sketch").alias(x))
-    return (pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select("a", "b", "x", "y")
-            .mapInArrow(run, "a bigint, b bigint"))
+    return (pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select(*PAIR, "x", "y")
+            .mapInArrow(run, PAIR_ROW))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity.
+    """(ra, rb): the groups of the pairs whose shingle sets have the similarity.
 
     Only the sets of pairs that the sketches let through are moved; where these are few, Spark
     sends them to the sets.
@@ -276,18 +279,26 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     both = left.join(needed("a", "x"), "a").join(needed("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("ra", "rb").distinct()
 
 
 def _signature_pairs(sims: DataFrame) -> DataFrame:
-    """(a, b): pairs of set hashes with equal SimHashes or linked ones, as a forest."""
+    """Pairs of set hashes with equal SimHashes or linked ones, as a forest; each set is a group."""
     heads = sims.groupBy("sim").agg(F.min("fp").alias("head"))
     equal = sims.join(heads, "sim").where("fp <> head").select(F.col("head").alias("a"),
                                                                F.col("fp").alias("b"))
     linked = (fingerprint_links(heads.select(F.col("sim").alias("fp")), MAX_RADIUS)
               .join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(
                   F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return equal.union(linked).where("a <> b")
+    return (equal.union(linked).where("a <> b").distinct()
+            .select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) after ``links`` between roots."""
+    new = components(stage(links, "similar-links"), "similar-components").toDF("root", "least")
+    return stage(roots.join(new, "root", "left").select("fp", F.coalesce("least", "root").alias("root")),
+                 "similar-roots")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
@@ -317,15 +328,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             .select("of").distinct())
     sets = stage(_shingle_sets(docs, key, text, stage(keys, "similar-keys"), shingle), "similar-sets")
     sims = found.where("doc").select("fp", "sim").distinct().join(known, "fp", "left_semi")
-    links = stage(_alike(_signature_pairs(stage(sims, "similar-sims")).distinct(), sets, similarity),
-                  "similar-links")
+    roots = known.select("fp", F.col("fp").alias("root"))
+    roots = _joined(roots, _alike(_signature_pairs(stage(sims, "similar-sims")), sets, similarity))
     for salt, reach in ROUNDS:
-        roots = components(links, "similar-components").select(F.col("node").alias("fp"), "root")
-        now = index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        pairs = _by_bucket(now, [*names, "root"], _candidates(salt, reach, similarity),
-                           "a bigint, b bigint")
-        links = links.union(stage(_alike(pairs.distinct(), sets, similarity), "similar-links"))
-    return grouped(rows, links, key)
+        pairs = _by_bucket(index.join(roots, "fp"), [*names, "root"],
+                           _candidates(salt, reach, similarity), PAIR_ROW)
+        roots = _joined(roots, _alike(pairs.distinct(), sets, similarity))
+    return by_root(rows, roots.withColumnRenamed("fp", "node"), key)
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
