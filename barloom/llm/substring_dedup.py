@@ -276,5 +276,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = rows.groupBy("h", "g").agg(F.min("key").alias("low"))
     gone = _hashes_by_key(rows.join(least, ["h", "g"]).where("key > low"))
     lists = gone.join(whole, "key", "full").join(copies, "key", "full")
-    left = meet(lists, "left").select("key", "text", "hs", "ds", copy.alias("copy"))
+    # a real key may equal the one that stands for null: its lists are not for null keys
+    own = lambda c: F.when(F.col("key").isNotNull(), c)
+    left = meet(lists, "left").select("key", "text", own(F.col("hs")).alias("hs"), own(F.col("ds")).alias("ds"),
+                                      (F.col("key").isNotNull() & copy).alias("copy"))
     return _remove(left, sizes).withColumnRenamed("key", key)

@@ -83,6 +83,19 @@ def test_substring_dedup(docs, rows, window):
     assert bag(substring_dedup.remove_repeated(docs, window=window).collect()) == bag(want)
 
 
+@pytest.mark.parametrize("window", [4, 13])
+def test_substring_dedup_leaves_null_keys(spark, window):
+    """Also where a real key is the number that stands for null."""
+    words = [f"w{i}" for i in range(17)]
+    rows = [(-(1 << 31) - 1, " ".join(words)), (-(1 << 31), "x " + " ".join(words)),
+            (-(1 << 31), " ".join(words)), (None, " ".join(words)), (None, "x " + " ".join(words[:14]) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.remove_repeated(docs, window=window).collect()
+    want = [(rows[0][0], 17, 0, rows[0][1]), (rows[1][0], 18, 17, "x"), (rows[2][0], 17, 17, ""),
+            (None, 17, 0, rows[3][1]), (None, 16, 0, rows[4][1])]
+    assert bag(got) == bag(want)
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(docs, rows, hot):
     window, seen = 60, collections.Counter()
