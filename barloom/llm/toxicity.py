@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
-* Terms are case-folded words and the first six bytes of longer ones.  The vocabulary is the
-  ``TERMS`` terms most associated with the label in the examples (chi-squared, and at least
-  half of the examples that hold the term have it); document frequencies for the weights are counted over all documents.
-* Examples are kept in an inverted index of blocks with the largest weight of every term in
-  every block.  A text looks at blocks in the order of their bound and stops when no block
-  left can reach its k-th neighbour, so the neighbours are exact.
+* Terms are case-folded words and the first six bytes of longer ones; the vocabulary is every
+  term of the examples.  Document frequencies are counted over all documents.  A weight is
+  (1 + log count) * idf * (``FLOOR`` + how far the share of toxic examples among those with the
+  term lies above the share among all), so every term counts and telling ones count more.
+* Examples are kept in an inverted index: the postings of a term lie by blocks of examples, each
+  with its largest weight.  A text adds up these to a bound for every block, looks at blocks in
+  the order of their bounds and stops when no block left can reach its k-th neighbour, so the
+  neighbours are exact.
 * A score is the vote of the neighbours weighted by similarity, drawn to the share of toxic
   examples by ``PRIOR`` votes.  A text without vocabulary terms gets the share among the
   examples that have none either.  The neighbours are returned as evidence.
 
-The examples and the vocabulary are bounded; texts are scored where they are, without a
-shuffle.
+The examples are bounded in number and in characters, and the index with them; texts are scored
+where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from . import kernels as K
 from .decontamination import folded_words
 from .labelled import EXAMPLES, examples, held_out
 
-TERMS = 1024
-LEAST_CHI2, LEAST_DOCS, LEAST_SHARE = 16.0, 4, 0.5
+EXAMPLE_CHARS = 1 << 25      # bound on the characters of all examples
+FLOOR, SMOOTH = 0.1, 4.0
 NEIGHBOURS = 15
-PRIOR = 4.0
+PRIOR = 2.0
 BLOCK = 64
+FIRST = 4                    # blocks looked at first; then twice as many each time
 THRESHOLD = 0.3
 PREFIX = 6
 
@@ -46,133 +51,187 @@ def _terms(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(s: K.Slice, known: np.ndarray | None = None):
-    """(row, term, count) of a slice; with ``known`` (sorted) the place in it instead."""
+    """(row, term, count) of a slice by row and term; with ``known`` (sorted) the place in it."""
     h, rows = _terms(s)
+    words, at = np.unique(h, return_inverse=True)
     if known is not None:
-        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-        h, rows = at[hit].astype(np.uint64), rows[hit]
-    pair, n = np.unique(np.stack([rows.astype(np.uint64), h]), axis=1, return_counts=True) \
-        if len(h) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-    return pair[0].astype(np.int64), pair[1], n
-
-
-def _vocabulary(rows: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the terms most associated with the label."""
+        place = np.searchsorted(known, words)
+        found = np.zeros(len(words), bool)
+        inside = place < len(known)
+        found[inside] = known[place[inside]] == words[inside]
+        hit = found[at]
+        words, at, rows = place, at[hit], rows[hit]
+    pair, n = np.unique(rows.astype(np.int64) * max(len(words), 1) + at, return_counts=True)
+    row, at = np.divmod(pair, max(len(words), 1))
+    return row, words[at], n
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every start, ``sizes`` of each."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def _train(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int,
+           chars: int) -> DataFrame:
+    """(key, y, text) of the examples: one per key, of its least text, as many in the order of a
+    hash of the key as hold at most ``chars`` characters."""
+    found = stage(examples(docs, labels, label, key, text, rows).groupBy("key").agg(
+        F.max("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxic-examples")
+    # at most ``rows`` keys with the lengths of their texts
+    upto = Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    few = (found.select("key", F.length("text").alias("n"))
+           .withColumn("n", F.sum("n").over(upto)).where(F.col("n") <= chars).select("key"))
+    return found.join(F.broadcast(few), "key", "left_semi")
+
+
+def _vectors(train: DataFrame) -> pa.Table:
+    """(key, y, terms, counts) of the examples, ordered by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in K.slices(batch.column(1)):
-                row, term, _ = _counts(s)
+            for s in K.slices(batch.column(2)):
+                row, term, n = _counts(s)
+                each = np.bincount(row, minlength=s.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [K.as_long(term), batch.column(0).take(pa.array(row + s.first))], ["t", "y"])
+                    [batch.column(0).slice(s.first, s.rows), batch.column(1).slice(s.first, s.rows),
+                     K.lists(K.as_long(term), each), K.lists(pa.array(n.astype(np.int32)), each)],
+                    ["key", "y", "t", "n"])
 
-    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not n or not toxic or toxic == n:
-        return np.zeros(0, np.uint64)
-    found = (rows.select("y", "text").mapInArrow(run, "t bigint, y int").groupBy("t")
-             .agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("d")))
-    chi2 = F.expr(f"{n}D * pow(a * ({n - toxic}D - d + a) - (d - a) * ({toxic}D - a), 2) "
-                  f"/ (d * ({n}D - d) * {toxic}D * {n - toxic}D)")
-    best = (found.where(f"d >= {LEAST_DOCS} AND a >= {LEAST_SHARE} * d").withColumn("c", chi2)
-            .where(F.col("c") >= LEAST_CHI2).orderBy(F.desc("c"), "t").limit(size))
-    return np.sort(np.array([r.t for r in best.select("t").collect()], np.int64).view(np.uint64))
+    kind = train.schema["key"].dataType.simpleString()
+    return (train.select("key", "y", "text")
+            .mapInArrow(run, f"key {kind}, y int, t array<bigint>, n array<int>")
+            .toArrow().sort_by("key"))
 
 
 def _document_frequency(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents, over all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(known), np.int64), 0
+        known, rows = shared.value, 0
+        total = np.zeros(len(known), np.int64)
         for batch in batches:
             rows += batch.num_rows
             for s in K.slices(batch.column(0)):
-                np.add.at(total, _counts(s, known)[1].astype(np.int64), 1)
+                total += np.bincount(_counts(s, known)[1], minlength=len(known))
+        at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(np.arange(len(known)), -1)), pa.array(np.append(total, rows))],
-            ["i", "n"])
+            [pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["i", "n"])
+
+    got = (docs.select("text").mapInArrow(run, "i bigint, n bigint").groupBy("i")
+           .agg(F.sum("n").alias("n")).toArrow())
+    i, n = got["i"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(known))
+    df[i[i >= 0]] = n[i >= 0]
+    return df, int(n[i < 0].sum())
+
+
+def term_weights(df: np.ndarray, n: int, holding: np.ndarray, toxic: np.ndarray,
+                 rate: float) -> np.ndarray:
+    """Weight of each term: idf over ``n`` documents, times its bearing on the label.
 
-    got = docs.select("text").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n"))
-    found = {r[0]: r[1] for r in got.collect()}
-    return np.array([found.get(i, 0) for i in range(len(known))], float), found.get(-1, 0)
+    ``holding`` examples have the term, ``toxic`` of these carry the label, as ``rate`` of all do.
+    """
+    share = (toxic + SMOOTH * rate) / (holding + SMOOTH)
+    return (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + np.maximum(0, share - rate))
 
 
 class Index:
     """Block-max inverted index of the examples, and the search in it."""
 
-    def __init__(self, known, idf, vectors, k: int = NEIGHBOURS):
-        """``vectors``: (key, y, terms, counts) of every example."""
-        self.known, self.idf, self.k = known, idf, k
-        rate = [v[1] for v in vectors]
-        self.rate = sum(rate) / len(rate) if rate else 0.5
-        none = [v[1] for v in vectors if not len(v[2])]
-        self.none = (sum(none) + PRIOR * self.rate) / (len(none) + PRIOR)
-        # neighbours in a block share terms, so block bounds are tight
-        rest = sorted((v for v in vectors if len(v[2])),
-                      key=lambda v: (int(v[2][np.argmax(self.weights(v[2], v[3]))]), v[0]))
-        self.keys = [v[0] for v in rest]
-        self.y = np.array([v[1] for v in rest], float)
-        self.rank = np.argsort(np.argsort(np.array(self.keys))) if rest else np.zeros(0, int)
-        pad = -len(rest) % BLOCK
-        self.w = np.zeros((len(rest) + pad, len(known)), np.float32)
-        for i, v in enumerate(rest):
-            self.w[i, v[2]] = self.weights(v[2], v[3])
-        self.most = self.w.reshape(-1, BLOCK, len(known)).max(1) if len(known) else self.w[:0]
-
-    def weights(self, terms, counts) -> np.ndarray:
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms, int)]
-        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+    def __init__(self, known: np.ndarray, weight: np.ndarray, keys: list, y: np.ndarray,
+                 row: np.ndarray, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS):
+        """``keys`` and ``y`` of the examples, ascending; (row, term, count) of their terms by
+        row, terms as places in ``known`` with ``weight``."""
+        self.known, self.weight, self.k = known, weight, k
+        self.rate = float(np.mean(y)) if len(y) else 0.5
+        held = np.bincount(row, minlength=len(y))
+        none = np.asarray(y)[held == 0]
+        self.none = float((none.sum() + PRIOR * self.rate) / (len(none) + PRIOR))
+        w = (1 + np.log(count)) * weight[term]
+        w /= np.sqrt(np.bincount(row, w * w, minlength=len(y)))[row]
+        # neighbours in a block share their heaviest term, so block bounds are tight
+        use = np.flatnonzero(held)
+        heavy = term[np.lexsort((-w, row))[(np.cumsum(held) - held)[use]]]
+        use = use[np.lexsort((use, heavy))]
+        self.keys, self.y, self.rank = [keys[i] for i in use], np.asarray(y, float)[use], use
+        place = np.zeros(len(y), np.int64)
+        place[use] = np.arange(len(use))
+        order = np.lexsort((place[row], term))
+        self.example, self.w = place[row][order].astype(np.int32), w[order].astype(np.float32)
+        term, block = term[order], self.example // BLOCK
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(first)
+        # runs of postings: one term in one block
+        self.run = np.append(first, len(term))
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.w, first) if len(first) else self.w
+        self.runs_of = np.searchsorted(term[first], np.arange(len(known) + 1))
+        self.blocks = -(-len(use) // BLOCK)
+
+    def query(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest with a common term; ties go to the least key."""
-        q = self.weights(terms, counts)
-        bound = self.most[:, terms] @ q
-        best = np.zeros(0, int)
-        value = np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(value) == self.k and bound[b] < value[-1] - 1e-5:
+        q = self.query(terms, counts).astype(np.float32)
+        n = self.runs_of[terms + 1] - self.runs_of[terms]
+        runs, q = _ranges(self.runs_of[terms], n), np.repeat(q, n)
+        of = self.block[runs]
+        bound = np.bincount(of, self.most[runs] * q, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        best, value = np.zeros(0, np.int64), np.zeros(0)
+        done, step, chosen = 0, FIRST, np.zeros(self.blocks, bool)
+        while done < self.blocks:
+            least = value[-1] - 1e-5 if len(value) == self.k else 0.0
+            now = order[done:done + step]
+            now = now[bound[now] > max(least, 0.0)]
+            if not len(now):
                 break
-            score = self.w[b * BLOCK:(b + 1) * BLOCK, terms] @ q
+            chosen[:] = False
+            chosen[now] = True
+            at = np.flatnonzero(chosen[of])
+            size = self.run[runs[at] + 1] - self.run[runs[at]]
+            post = _ranges(self.run[runs[at]], size)
+            score = np.bincount(self.example[post], self.w[post] * np.repeat(q[at], size))
             hit = np.flatnonzero(score > 0)
-            best = np.concatenate([best, hit + b * BLOCK])
-            value = np.concatenate([value, score[hit]])
-            order = np.lexsort((self.rank[best], -np.round(value, 6)))[:self.k]
-            best, value = best[order], value[order]
+            best, value = np.concatenate([best, hit]), np.concatenate([value, score[hit]])
+            top = np.lexsort((self.rank[best], -np.round(value, 6)))[:self.k]
+            best, value = best[top], value[top]
+            done, step = done + step, 2 * step
         return best, value
 
     def score(self, best: np.ndarray, value: np.ndarray) -> float:
-        return float((value @ self.y[best] + PRIOR * self.rate) / (value.sum() + PRIOR))
+        got = (value @ self.y[best] + PRIOR * self.rate) / (value.sum() + PRIOR)
+        return float(min(max(got, 0.0), 1.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
-        rows: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
-    """The index over at most ``rows`` examples and ``terms`` terms."""
-    train = examples(docs, labels, label, key, text, rows)
-    known = _vocabulary(train, terms)
+        rows: int = EXAMPLES, chars: int = EXAMPLE_CHARS, k: int = NEIGHBOURS) -> Index:
+    """The index over at most ``rows`` examples of at most ``chars`` characters together."""
+    got = _vectors(_train(docs, labels, label, key, text, rows, chars))
+    terms, edges = K.flat(got["t"])
+    known, term = np.unique(terms.view(np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(got.num_rows), np.diff(edges))
+    count, y = K.flat(got["n"])[0].astype(float), got["y"].to_numpy().astype(float)
     df, n = _document_frequency(docs.select(F.col(text).alias("text")), known)
-    idf = np.log((1 + n) / (1 + df)) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in K.slices(batch.column(2)):
-                row, term, count = _counts(s, known)
-                n = np.bincount(row, minlength=s.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.rows), batch.column(1).slice(s.first, s.rows),
-                     K.lists(pa.array(term.astype(np.int32)), n),
-                     K.lists(pa.array(count.astype(np.int32)), n)], ["key", "y", "t", "n"])
-
-    kind = train.schema["key"].dataType.simpleString()
-    got = train.mapInArrow(run, f"key {kind}, y int, t array<int>, n array<int>").collect()
-    return Index(known, idf, sorted((tuple(r) for r in got), key=lambda r: (r[0], r[2], r[3])), k)
+    weight = term_weights(df, n, np.bincount(term, minlength=len(known)),
+                          np.bincount(term, y[row], minlength=len(known)),
+                          float(y.mean()) if len(y) else 0.5)
+    return Index(known, weight, got["key"].to_pylist(), y, row, term, count, k)
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
                 text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """(key, held_out, score, predicted, evidence) of every row.
+    """(key, held_out, score, predicted, evidence) of every row; repeated rows are scored alike.
 
-    ``evidence``: the keys of the examples that voted, nearest first.  A null text is empty.
-    Without usable labels every score is the share of toxic examples (0.5 if there are none).
+    ``evidence``: the keys of the examples that voted, nearest first.  A null text is empty, a
+    null key is in no fold and no example; a key with several texts is one example, of the
+    least.  Other columns are not looked at, whatever their names.  Without usable labels every
+    score is the share of toxic examples (0.5 if there are none); an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, key, text, **options))
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -186,12 +245,12 @@ def score_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: s
                 edges = np.searchsorted(row, np.arange(s.rows + 1))
                 scores, evidence = [], []
                 for i in range(s.rows):
-                    t, n = term[edges[i]:edges[i + 1]].astype(int), count[edges[i]:edges[i + 1]]
+                    t, n = term[edges[i]:edges[i + 1]], count[edges[i]:edges[i + 1]]
                     if not len(t) or not len(index.keys):
                         scores.append(index.none if len(index.keys) else index.rate)
                         evidence.append([])
                         continue
-                    name = t.tobytes() + n.tobytes()
+                    name = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
                     if name not in seen:
                         if len(seen) > 50_000:
                             seen.clear()

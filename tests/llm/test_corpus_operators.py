@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -512,20 +513,91 @@ def test_held_out_accuracy(spark, op, label, bar):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
-    vectors = []
-    for i in range(500):
-        t = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
-        vectors.append((i, int(rng.random() < 0.3), t.tolist(), rng.integers(1, 4, len(t)).tolist()))
-    index = toxicity.Index(np.arange(40, dtype=np.uint64), rng.random(40) + 1, vectors)
+    held = [np.sort(rng.choice(40, rng.integers(0, 6), replace=False)) for _ in range(500)]
+    row, term = np.repeat(np.arange(500), [len(t) for t in held]), np.concatenate(held)
+    count, weight = rng.integers(1, 4, len(term)), rng.random(40) + 0.1
+    index = toxicity.Index(np.arange(40, dtype=np.uint64), weight, list(range(500)),
+                           rng.random(500) < 0.3, row, term, count)
+    dense = np.zeros((500, 40))
+    dense[row, term] = (1 + np.log(count)) * weight[term]
+    dense /= np.maximum(np.sqrt((dense ** 2).sum(1, keepdims=True)), 1e-12)
     for _ in range(60):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        best, value = index.nearest(t, np.ones(len(t), int))
+        n = rng.integers(1, 4, len(t))
+        best, value = index.nearest(t, n)
         q = np.zeros(40)
-        q[t] = index.weights(t, np.ones(len(t)))
-        all_ = np.round(index.w[:len(index.keys)] @ q, 6)
-        want = sorted(((-v, k) for v, k in zip(all_, index.keys) if v > 0))[:index.k]
-        assert np.allclose([-w[0] for w in want], value, atol=2e-6)
-        assert [w[1] for w in want] == [index.keys[j] for j in best]
+        q[t] = (1 + np.log(n)) * weight[t]
+        all_ = np.round(dense @ (q / np.sqrt((q ** 2).sum())), 5)
+        want = sorted(((-v, k) for k, v in enumerate(all_) if v > 0))[:index.k]
+        assert np.allclose([-w[0] for w in want], value, atol=2e-5)
+        # the same neighbours but for ties at the limit
+        sure = {k for v, k in want if -v > value[-1] + 2e-5}
+        assert sure <= {index.keys[j] for j in best}
+
+
+def toxic_scores(rows, labels):
+    """Scores over the whole vocabulary by dense cosines, from texts and labels alone."""
+    def terms(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        return collections.Counter([(w, len(w)) for w in words] + [(w[:6], 0) for w in words if len(w) > 6])
+
+    label = {k: y for k, y in labels if k is not None and y is not None
+             and zlib.crc32(str(k).encode()) % 4 != 2}
+    bags = [terms(r[1]) for r in rows]
+    train = {r[0]: b for r, b in zip(rows, bags) if r[0] in label}
+    keys = sorted(train)
+    known = sorted({t for k in keys for t in train[k]})
+    y = np.array([label[k] for k in keys], float)
+    rate, df = y.mean(), collections.Counter(t for b in bags for t in b)
+    place = {t: i for i, t in enumerate(known)}
+    weight = np.zeros(len(known))
+    for t in known:
+        having = [label[k] for k in keys if t in train[k]]
+        share = (sum(having) + 4 * rate) / (len(having) + 4)
+        weight[place[t]] = (math.log((1 + len(rows)) / (1 + df[t])) + 1) * (0.1 + max(0, share - rate))
+
+    def vector(bag):
+        v = np.zeros(len(known))
+        for t, n in bag.items():
+            if t in place:
+                v[place[t]] = (1 + math.log(n)) * weight[place[t]]
+        return v / (np.sqrt((v ** 2).sum()) or 1)
+
+    examples = np.stack([vector(train[k]) for k in keys])
+    bare = [label[k] for k in keys if not train[k]]
+    out = []
+    for bag in bags:
+        v = vector(bag)
+        if not v.any():
+            out.append((sum(bare) + 2 * rate) / (len(bare) + 2))
+            continue
+        cosine = examples @ v
+        best = [i for i in np.lexsort((np.arange(len(keys)), -np.round(cosine, 6)))[:15] if cosine[i] > 0]
+        out.append((cosine[best] @ y[best] + 2 * rate) / (cosine[best].sum() + 2))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = labelled(spark)
+    rng = random.Random(4)
+    more = [(1000 + i, " ".join(rng.choices(["Straßenbahn", "éclairées", "Unmoeglichkeit", "x1", "ab-cd",
+                                             "vile", "plain3"], k=rng.randint(1, 40))), "", 1, "")
+            for i in range(60)]
+    docs = docs.union(spark.createDataFrame(more, SCHEMA))
+    labels = labels.union(spark.createDataFrame([(r[0], 1, int("vile" in r[1])) for r in more[:40]],
+                                                labels.schema))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = toxic_scores(rows, [(r.doc_id, r.toxic) for r in labels.collect()])
+    got = toxicity.score_texts(docs, labels).collect()
+    assert bag((r.doc_id, round(r.score, 4)) for r in got) == bag(
+        (k, round(s, 4)) for (k, _), s in zip(rows, want))
+
+
+def test_toxic_examples_are_bounded(spark):
+    docs, labels = labelled(spark)
+    index = toxicity.fit(docs, labels, "toxic", "doc_id", "text", rows=100, chars=2000)
+    sizes = {r.doc_id: len(r.text or "") for r in docs.collect()}
+    assert 0 < len(index.keys) < 100 and sum(sizes[k] for k in index.keys) <= 2000
 
 
 def test_empty_tables(spark, empty, tmp_path):
