@@ -7,7 +7,8 @@
 * Examples are kept in an inverted index: the postings of a term lie by blocks of examples, each
   with its largest weight.  A text adds up these to a bound for every block, looks at blocks in
   the order of their bounds and stops when no block left can reach its k-th neighbour, so the
-  neighbours are exact.
+  neighbours are exact.  The ``FULL`` longest lists have no gaps and no block weights: their part
+  of the cosines is known exactly before the blocks are ordered.
 * A score is the vote of the neighbours weighted by similarity, drawn to the share of toxic
   examples by ``PRIOR`` votes.  A text without vocabulary terms gets the share among the
   examples that have none either.  The neighbours are returned as evidence.
@@ -36,7 +37,9 @@ FLOOR, SMOOTH = 0.1, 4.0
 NEIGHBOURS = 15
 PRIOR = 2.0
 BLOCK = 64
-FIRST = 4                    # blocks looked at first; then twice as many each time
+FULL = 1024                  # lists kept without gaps; where they lie changes no result
+GROUP = 512                  # texts multiplied at once
+FIRST, MORE = 4, 32          # blocks looked at first, and how many times as many next
 THRESHOLD = 0.3
 PREFIX = 6
 
@@ -158,9 +161,22 @@ class Index:
         self.keys, self.y, self.rank = [keys[i] for i in use], np.asarray(y, float)[use], use
         place = np.zeros(len(y), np.int64)
         place[use] = np.arange(len(use))
-        order = np.lexsort((place[row], term))
-        self.example, self.w = place[row][order].astype(np.int32), w[order].astype(np.float32)
-        term, block = term[order], self.example // BLOCK
+        self.blocks = -(-len(use) // BLOCK)
+        posting = place[row]
+        # terms of most examples: lists without gaps, multiplied at once for many texts
+        held = np.bincount(term, minlength=len(known))
+        full = np.argsort(-held, kind="stable")[:FULL]
+        full = full[held[full] > self.blocks]
+        self.full_at = np.full(len(known), -1)
+        self.full_at[full] = np.arange(len(full))
+        self.full = np.zeros((len(full), self.blocks * BLOCK), np.float32)
+        at = self.full_at[term]
+        self.full[at[at >= 0], posting[at >= 0]] = w[at >= 0]
+        term, posting, w = term[at < 0], posting[at < 0], w[at < 0]
+        order = np.lexsort((posting, term))
+        term, w = term[order], w[order]
+        self.example, self.w = posting[order].astype(np.int32), w.astype(np.float32)
+        block = self.example // BLOCK
         first = np.ones(len(term), bool)
         first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         first = np.flatnonzero(first)
@@ -169,19 +185,31 @@ class Index:
         self.block = block[first]
         self.most = np.maximum.reduceat(self.w, first) if len(first) else self.w
         self.runs_of = np.searchsorted(term[first], np.arange(len(known) + 1))
-        self.blocks = -(-len(use) // BLOCK)
 
     def query(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest with a common term; ties go to the least key."""
-        q = self.query(terms, counts).astype(np.float32)
+        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        """(example, cosine) of the k nearest with a common term, for each text's terms and
+        counts; ties go to the least key."""
+        for a in range(0, len(texts), GROUP):
+            group = [(t, self.query(t, n)) for t, n in texts[a:a + GROUP]]
+            full = np.zeros((len(group), len(self.full)), np.float32)
+            for i, (t, q) in enumerate(group):
+                at = self.full_at[t]
+                full[i, at[at >= 0]] = q[at >= 0]
+            for (t, q), part in zip(group, full @ self.full):
+                rest = self.full_at[t] < 0
+                yield self._nearest(t[rest], q[rest], part)
+
+    def _nearest(self, terms: np.ndarray, q: np.ndarray, part: np.ndarray):
+        """The nearest, given the other terms and the ``part`` of the full lists in all cosines."""
         n = self.runs_of[terms + 1] - self.runs_of[terms]
         runs, q = _ranges(self.runs_of[terms], n), np.repeat(q, n)
         of = self.block[runs]
-        bound = np.bincount(of, self.most[runs] * q, minlength=self.blocks)
+        bound = (np.bincount(of, self.most[runs] * q, minlength=self.blocks)
+                 + part.reshape(-1, BLOCK).max(1))
         order = np.argsort(-bound, kind="stable")
         best, value = np.zeros(0, np.int64), np.zeros(0)
         done, step, chosen = 0, FIRST, np.zeros(self.blocks, bool)
@@ -196,17 +224,19 @@ class Index:
             at = np.flatnonzero(chosen[of])
             size = self.run[runs[at] + 1] - self.run[runs[at]]
             post = _ranges(self.run[runs[at]], size)
-            score = np.bincount(self.example[post], self.w[post] * np.repeat(q[at], size))
-            hit = np.flatnonzero(score > 0)
+            score = np.bincount(self.example[post], self.w[post] * np.repeat(q[at], size),
+                                minlength=len(part)) + part
+            some = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = some[score[some] > max(least, 0.0)]
             best, value = np.concatenate([best, hit]), np.concatenate([value, score[hit]])
             top = np.lexsort((self.rank[best], -np.round(value, 6)))[:self.k]
             best, value = best[top], value[top]
-            done, step = done + step, 2 * step
+            done, step = done + step, MORE * step
         return best, value
 
     def score(self, best: np.ndarray, value: np.ndarray) -> float:
         got = (value @ self.y[best] + PRIOR * self.rate) / (value.sum() + PRIOR)
-        return float(min(max(got, 0.0), 1.0))
+        return round(float(min(max(got, 0.0), 1.0)), 6)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
@@ -243,21 +273,18 @@ def score_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: s
             for s in K.slices(batch.column(1)):
                 row, term, count = _counts(s, index.known)
                 edges = np.searchsorted(row, np.arange(s.rows + 1))
-                scores, evidence = [], []
+                names, new = [], {}
                 for i in range(s.rows):
                     t, n = term[edges[i]:edges[i + 1]], count[edges[i]:edges[i + 1]]
-                    if not len(t) or not len(index.keys):
-                        scores.append(index.none if len(index.keys) else index.rate)
-                        evidence.append([])
-                        continue
-                    name = xxhash.xxh3_128_digest(t.tobytes() + n.tobytes())
-                    if name not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        best, value = index.nearest(t, n)
-                        seen[name] = index.score(best, value), [index.keys[j] for j in best]
-                    scores.append(seen[name][0])
-                    evidence.append(seen[name][1])
+                    names.append(xxhash.xxh3_128_digest(t.tobytes() + n.tobytes()))
+                    if len(t) and len(index.keys) and names[-1] not in seen:
+                        new[names[-1]] = t, n
+                for name, (best, value) in zip(new, index.nearest(list(new.values()))):
+                    seen[name] = index.score(best, value), [index.keys[j] for j in best]
+                bare = (index.none if len(index.keys) else index.rate), []
+                scores, evidence = zip(*[seen.get(name, bare) for name in names])
+                if len(seen) > 50_000:
+                    seen.clear()
                 keys = batch.column(0).slice(s.first, s.rows)
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(scores, pa.float64()),

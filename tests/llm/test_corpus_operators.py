@@ -511,7 +511,9 @@ def test_held_out_accuracy(spark, op, label, bar):
     assert np.mean(hits) > 0.95
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("full", [0, 7, 40])
+def test_nearest_examples_are_exact(monkeypatch, full):
+    monkeypatch.setattr(toxicity, "FULL", full)
     rng = np.random.default_rng(1)
     held = [np.sort(rng.choice(40, rng.integers(0, 6), replace=False)) for _ in range(500)]
     row, term = np.repeat(np.arange(500), [len(t) for t in held]), np.concatenate(held)
@@ -524,7 +526,7 @@ def test_nearest_examples_are_exact():
     for _ in range(60):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         n = rng.integers(1, 4, len(t))
-        best, value = index.nearest(t, n)
+        (best, value), = index.nearest([(t, n)])
         q = np.zeros(40)
         q[t] = (1 + np.log(n)) * weight[t]
         all_ = np.round(dense @ (q / np.sqrt((q ** 2).sum())), 5)
