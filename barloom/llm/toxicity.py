@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def _train(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
 
 
 def _vectors(train: DataFrame) -> pa.Table:
-    """(key, y, terms, counts) of the examples, ordered by key."""
+    """(key, y, terms, counts) of the examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +105,7 @@ def _vectors(train: DataFrame) -> pa.Table:
     kind = train.schema["key"].dataType.simpleString()
     return (train.select("key", "y", "text")
             .mapInArrow(run, f"key {kind}, y int, t array<bigint>, n array<int>")
-            .toArrow().sort_by("key"))
+            .toArrow())
 
 
 def _document_frequency(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
@@ -152,14 +153,14 @@ class Index:
         held = np.bincount(row, minlength=len(y))
         none = np.asarray(y)[held == 0]
         self.none = float((none.sum() + PRIOR * self.rate) / (len(none) + PRIOR))
-        w = (1 + np.log(count)) * weight[term]
-        w /= np.sqrt(np.bincount(row, w * w, minlength=len(y)))[row]
+        w = ((1 + np.log(count)) * weight[term]).astype(np.float32)
+        w /= np.sqrt(np.bincount(row, w * w, minlength=len(y))).astype(np.float32)[row]
         # neighbours in a block share their heaviest term, so block bounds are tight
         use = np.flatnonzero(held)
         heavy = term[np.lexsort((-w, row))[(np.cumsum(held) - held)[use]]]
         use = use[np.lexsort((use, heavy))]
         self.keys, self.y, self.rank = [keys[i] for i in use], np.asarray(y, float)[use], use
-        place = np.zeros(len(y), np.int64)
+        place = np.zeros(len(y), np.int32)
         place[use] = np.arange(len(use))
         self.blocks = -(-len(use) // BLOCK)
         posting = place[row]
@@ -167,7 +168,7 @@ class Index:
         held = np.bincount(term, minlength=len(known))
         full = np.argsort(-held, kind="stable")[:FULL]
         full = full[held[full] > self.blocks]
-        self.full_at = np.full(len(known), -1)
+        self.full_at = np.full(len(known), -1, np.int32)
         self.full_at[full] = np.arange(len(full))
         self.full = np.zeros((len(full), self.blocks * BLOCK), np.float32)
         at = self.full_at[term]
@@ -175,7 +176,8 @@ class Index:
         term, posting, w = term[at < 0], posting[at < 0], w[at < 0]
         order = np.lexsort((posting, term))
         term, w = term[order], w[order]
-        self.example, self.w = posting[order].astype(np.int32), w.astype(np.float32)
+        self.example, self.w = posting[order].astype(np.int32), w
+        del row, count, at, posting, order
         block = self.example // BLOCK
         first = np.ones(len(term), bool)
         first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -243,15 +245,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
         rows: int = EXAMPLES, chars: int = EXAMPLE_CHARS, k: int = NEIGHBOURS) -> Index:
     """The index over at most ``rows`` examples of at most ``chars`` characters together."""
     got = _vectors(_train(docs, labels, label, key, text, rows, chars))
-    terms, edges = K.flat(got["t"])
-    known, term = np.unique(terms.view(np.uint64), return_inverse=True)
-    row = np.repeat(np.arange(got.num_rows), np.diff(edges))
-    count, y = K.flat(got["n"])[0].astype(float), got["y"].to_numpy().astype(float)
+    keys, order = got["key"].to_pylist(), pc.sort_indices(got["key"]).to_numpy()
+    place = np.argsort(order).astype(np.int32)
+    row = np.repeat(place, got["t"].combine_chunks().value_lengths().to_numpy())
+    known, term = np.unique(K.flat(got["t"])[0].view(np.uint64), return_inverse=True)
+    count = K.flat(got["n"])[0].astype(np.float32)
+    keys, y = [keys[i] for i in order], got["y"].to_numpy()[order].astype(float)
+    del got
+    pa.default_memory_pool().release_unused()
+    by_row = np.lexsort((term, row))
+    row, term, count = row[by_row], term[by_row].astype(np.int32), count[by_row]
+    del by_row
     df, n = _document_frequency(docs.select(F.col(text).alias("text")), known)
     weight = term_weights(df, n, np.bincount(term, minlength=len(known)),
                           np.bincount(term, y[row], minlength=len(known)),
                           float(y.mean()) if len(y) else 0.5)
-    return Index(known, weight, got["key"].to_pylist(), y, row, term, count, k)
+    pa.default_memory_pool().release_unused()
+    return Index(known, weight, keys, y, row, term, count, k)
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
