@@ -89,17 +89,15 @@ def profit_streaks(filings: DataFrame, value: str = "op_income_quarter",
     seen = known.select("code", "disclosed_at", F.max("f.p").over(upto).alias("top"),
                         F.collect_list("f").over(upto).alias("fs")).dropDuplicates(
         ["code", "disclosed_at"])
-    recent = F.filter("fs", lambda f: f["p"] > F.col("top") - limit)
-    latest = F.transform(
-        F.sequence(F.lit(0), F.lit(limit - 1)),
-        lambda k: F.array_max(F.filter(recent, lambda f: f["p"] == F.col("top") - k))["v"])
-    first_stop = F.array_position(F.transform(latest, lambda v: F.coalesce(v > 0, F.lit(False))),
-                                  F.lit(False))
-    streak = F.when(first_stop == 0, F.lit(limit)).otherwise(first_stop - 1)
-    return (seen.withColumn("_latest", latest).select(
+    # newest period first, of a period the latest disclosure first: one walk finds the streak
+    recent = F.sort_array(F.filter("fs", lambda f: f["p"] > F.col("top") - limit), asc=False)
+    walk = """aggregate(_fs, named_struct('next', top, 'n', 0, 'open', true),
+        (s, f) -> IF(NOT s.open OR f.p > s.next, s, IF(f.p = s.next AND coalesce(f.v > 0, false),
+            named_struct('next', s.next - 1, 'n', s.n + 1, 'open', true),
+            named_struct('next', s.next, 'n', s.n, 'open', false))), s -> s.n)"""
+    return (seen.select("code", "disclosed_at", "top", recent.alias("_fs")).select(
         "code", "disclosed_at",
-        F.when(F.get("_latest", F.lit(0)).isNotNull(), streak).cast("int")
-        .alias("profit_quarters")))
+        F.expr(f"IF(_fs[0].v IS NOT NULL, {walk}, NULL)").cast("int").alias("profit_quarters")))
 
 
 def consecutive_profit_quarters(probes: DataFrame, filings: DataFrame, date: str = "date",

@@ -150,3 +150,17 @@ def test_first_trading_day_on_or_after(spark):
     asked = spark.createDataFrame([(d,) for d in days], "date date")
     got = {r.date: r.day_idx for r in AO.first_day_on_or_after(asked, cal).collect()}
     assert [got[d] for d in days] == [0, 0, 1, 1, None]
+
+
+def test_profit_streak_walks_each_disclosure_once(spark):
+    rows = [("a", 2024, q, D[q], 1) for q in (1, 2, 4)] + [("b", 2024, 1, D[1], 5), ("b", 2024, 2, D[2], -5),
+            ("b", 2024, 2, D[3], 5), ("c", 2024, 1, D[1], None)]
+    filings = spark.createDataFrame([(c, y, q, d, v) for c, y, q, d, v in rows],
+                                    "code string, year int, quarter int, disclosed_at date, op_income_quarter long")
+    steps = AO.profit_streaks(filings)
+    got = {(r.code, r.disclosed_at): r.profit_quarters for r in steps.collect()}
+    assert got == {("a", D[1]): 1, ("a", D[2]): 2, ("a", D[4]): 1, ("b", D[1]): 1, ("b", D[2]): 0,
+                   ("b", D[3]): 2, ("c", D[1]): None}
+    # the visible filings are filtered once for a disclosure, not once for a period
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") <= 2 and "transform(" not in plan
