@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -142,3 +145,26 @@ def test_split_is_adjusted_and_issue_is_not(spark):
     assert [r.close for r in A.adjust_prices(issue).orderBy("date").collect()] == [1000, 980]
     c = A.adjustment_counters(issue).first()
     assert (c.candidates, c.events, c.skipped_not_split) == (1, 0, 1)
+
+
+def test_recursive_means_keep_small_fold_states(spark):
+    """A fold copies its state at every bar, so a state never holds more than one portion."""
+    from barloom.functions import indicators as I
+
+    assert I._CHUNK <= 64
+    sql = I._fold("x", I.Ewm("x", 0.5))
+    assert "done" not in sql and len(re.findall(r"CAST\(array\(\)", sql)) == 1
+    n = 5 * I._CHUNK + 3
+    xs = [None if i % 7 == 3 or i < 2 else float(i * i % 101) for i in range(n)]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    bars = spark.createDataFrame([("a", d, x) for d, x in zip(days, xs)], "code string, date date, x double")
+    got = [r.y for r in I.with_ewm(bars, {"y": I.Ewm("x", 0.25, 3)}).orderBy("date").collect()]
+    y, w, known, want = None, 1.0, 0, []
+    for x in xs:
+        if x is None:
+            w = w * 0.75 if y is not None else 1.0
+        else:
+            y = x if y is None else (w * 0.75 * y + 0.25 * x) / (w * 0.75 + 0.25)
+            w, known = 1.0, known + 1
+        want.append(y if known >= 3 else None)
+    assert got == want
