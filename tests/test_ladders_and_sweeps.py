@@ -156,3 +156,16 @@ def test_equity_is_a_sweep_over_held_bars(spark):
     want = sorted((c, d, p.part, p.qty) for p in ledger.collect() for c, d, _ in bars
                   if c == p.code and p.entry_date <= d <= p.exit_date)
     assert sorted((r.code, r.date, r.part, r.qty) for r in held.collect()) == want
+
+
+def test_next_flagged_moves_flagged_bars_alone(spark, make_bars):
+    """The next true bar comes from a union with the probes; no probe joins the table of bars."""
+    path = [(10, 11, 9, 10 + (1 if i % 4 == 0 else -1)) for i in range(12)]
+    bars = M.index_bars(make_bars({"a": path}, halted={("a", 4)}))
+    probes = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 5), ("a", 4, 9), ("a", 5, 10), ("a", 6, 40)],
+                                   "code string, probe int, start_idx int")
+    out = M._next_flagged(bars, probes, {"hit": (F.col("close") > F.col("open"), F.lit(None))})
+    got = {r.probe: r.hit and r.hit.hit_idx for r in out.collect()}
+    assert got == {1: 1, 2: 9, 3: 9, 4: 9, 5: None, 6: None}
+    joins = [f._jdf.queryExecution().optimizedPlan().toString().count("Join ") for f in (bars, out)]
+    assert joins[0] == joins[1]    # the calendar's
