@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import discarding, stage
 from . import kernels as K
 from .components import components
 from .simhash_dedup import PAIRS, SMALL, MAX_RADIUS, by_root, fingerprint_links, majority, shingle_hashes
@@ -313,27 +313,31 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity above 0 and at most 1")
-    found = stage(_set_rows(docs, key, text, shingle), "similar-rows")
-    rows = found.where("doc").select("key", "fp")
-    # frequent shingles come last; the slots only decide the order, so any number of them is right
-    rank = np.zeros(SLOTS, np.uint8)
-    counts = found.where("not doc").groupBy("fp").agg(F.sum("n").alias("n")).toArrow()
-    rank[counts["fp"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy() + 1), 255)
-    names = ["k", "fp", "size", "left"]
-    index = stage(_by_bucket(_prefixes(docs, text, shingle, similarity, rank), names, _repeated,
-                             "k bigint, fp bigint, size int, left int"), "similar-index")
-    # a set that shares none of its first shingles is similar to no other
-    known = index.select("fp").distinct()
-    keys = (rows.join(known, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("of"))
-            .select("of").distinct())
-    sets = stage(_shingle_sets(docs, key, text, stage(keys, "similar-keys"), shingle), "similar-sets")
-    sims = found.where("doc").select("fp", "sim").distinct().join(known, "fp", "left_semi")
-    roots = known.select("fp", F.col("fp").alias("root"))
-    roots = _joined(roots, _alike(_signature_pairs(stage(sims, "similar-sims")), sets, similarity))
-    for salt, reach in ROUNDS:
-        pairs = _by_bucket(index.join(roots, "fp"), [*names, "root"],
-                           _candidates(salt, reach, similarity), PAIR_ROW)
-        roots = _joined(roots, _alike(pairs.distinct(), sets, similarity))
+    # of what the steps stage, the result reads the rows and the last groups alone
+    with discarding(docs.sparkSession) as keep:
+        found = keep(stage(_set_rows(docs, key, text, shingle), "similar-rows"))
+        rows = found.where("doc").select("key", "fp")
+        # frequent shingles come last; the slots only decide the order, so any number of them is right
+        rank = np.zeros(SLOTS, np.uint8)
+        counts = found.where("not doc").groupBy("fp").agg(F.sum("n").alias("n")).toArrow()
+        rank[counts["fp"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy() + 1), 255)
+        names = ["k", "fp", "size", "left"]
+        index = stage(_by_bucket(_prefixes(docs, text, shingle, similarity, rank), names, _repeated,
+                                 "k bigint, fp bigint, size int, left int"), "similar-index")
+        # a set that shares none of its first shingles is similar to no other
+        known = index.select("fp").distinct()
+        keys = (rows.join(known, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("of"))
+                .select("of").distinct())
+        sets = stage(_shingle_sets(docs, key, text, stage(keys, "similar-keys"), shingle), "similar-sets")
+        sims = found.where("doc").select("fp", "sim").distinct().join(known, "fp", "left_semi")
+        roots = known.select("fp", F.col("fp").alias("root"))
+        roots = _joined(roots, _alike(_signature_pairs(stage(sims, "similar-sims")), sets, similarity))
+        for salt, reach in ROUNDS:
+            with discarding(docs.sparkSession) as pass_on:
+                pairs = _by_bucket(index.join(roots, "fp"), [*names, "root"],
+                                   _candidates(salt, reach, similarity), PAIR_ROW)
+                roots = pass_on(_joined(roots, _alike(pairs.distinct(), sets, similarity)))
+        keep(roots)
     return by_root(rows, roots.withColumnRenamed("fp", "node"), key)
 
 

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -629,3 +630,35 @@ def test_pipeline_and_queries(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert 0 < len(left) < len(texts)
     assert len({hashlib.sha256(texts[i].encode()).digest() for i in left}) == len(left)
+
+
+def test_similar_documents_leave_only_what_the_result_reads(spark):
+    """Round 3: staged tables of the near-dedup stayed in the shared folder, some 1.5 x its input."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("barloom-*"))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(reversed(words)), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = similar_sets.similar_documents(docs)
+    left = {t.name for folder in set(root.glob("barloom-*")) - before for t in folder.iterdir() if t.is_dir()}
+    assert left == {"similar-rows", "similar-roots"}
+    assert {r.doc_id: r.component for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_discarding_keeps_what_is_passed_on(spark):
+    from barloom.sources.staging import discarding
+    with discarding(spark) as keep:
+        gone = stage(spark.range(3), "gone")
+        with discarding(spark) as pass_on:
+            inner = stage(spark.range(4), "inner")
+            passed = pass_on(stage(spark.range(5), "passed"))
+            kept = keep_both(keep, pass_on, stage(spark.range(6), "kept"))
+        assert passed.count() == 5 and gone.count() == 3
+    assert kept.count() == 6
+    for df in (gone, inner, passed):
+        with pytest.raises(Exception, match="(?i)not.exist|FileNotFound|no such"):
+            df.collect()
+
+
+def keep_both(keep, pass_on, df):
+    return keep(pass_on(df))
