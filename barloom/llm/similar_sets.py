@@ -12,11 +12,13 @@
    round has only the pairs between groups.  A round's links join the groups found before, so the
    components of a round are those of its new links alone.
 
-Candidates are first held against a *sketch* of each set (how many shingles fall into each of 64
-slots): the sum of the smaller counts bounds the shingles in common from above, so dropping a pair
-whose bound is below the similarity loses nothing, and most pairs never see their sets.  Then the
-sets themselves decide; every link is verified.  Sets are told apart by 64-bit hashes of 64-bit
-shingle hashes.  A shingle that only one set has among its first goes no further.
+Candidates are first held against a *sketch* of each set, two to four bits per shingle: whether
+an odd number of shingles falls into a slot.  Two sets differ in a shingle at least for every slot
+in which their sketches do, so dropping a pair that differs in too many loses nothing, and few
+pairs that are not similar see their sets.  Then the sets themselves decide; every link is
+verified.  Sets are not kept: those of a round's pairs are made again from their documents, which
+are found by a bitmap of their keys, so that texts are not moved.  Sets are told apart by 64-bit
+hashes of 64-bit shingle hashes.  A shingle that only one set has among its first goes no further.
 """
 
 from __future__ import annotations
@@ -38,42 +40,68 @@ from .words import fresh
 
 SLOT_BITS = 18               # shingles are counted in so many slots, for the order of prefixes
 SLOTS = 1 << SLOT_BITS
-SKETCH = 64                  # counters of a set's sketch
+LEAST_BITS = 512             # of a set's sketch
+WANTED_BITS = 24             # a bitmap of wanted values has 2 ** 24 bits, in rows of 64
 # (salt, neighbours): 0 is one pivot per bucket, None all pairs that are not connected yet
 PAIR = ["a", "b", "ra", "rb"]   # two sets and the groups they are in so far
 PAIR_ROW = ", ".join(f"{c} bigint" for c in PAIR)
 ROUNDS = ((1, 0), (2, 8), (3, 64), (None, None))
+SIGNATURES = (0, None)       # before them
 
 
 def _set_rows(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """Rows (doc, key, fp, sim, null): a hash and the SimHash of the distinct shingles; rows
-    (not doc, null, slot, null, n): shingles by slot, to be added up."""
+    """Rows (doc, key, fp, sim, n, sketch): hash, SimHash, number and sketch of the distinct
+    shingles; rows (not doc, null, slot, null, n, null): shingles by slot, to be added up."""
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = picked.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, of = np.zeros(SLOTS, np.int64), None
-        names = ["doc", "key", "fp", "sim", "n"]
+        names = ["doc", "key", "fp", "sim", "n", "sketch"]
         for batch in batches:
-            of, fps, sims = batch.schema.field(0).type, [], []
+            of, fps, sims, sizes, sketches = batch.schema.field(0).type, [], [], [], []
             for s in K.slices(batch.column(1)):
                 for i in range(s.rows):
                     h = np.unique(shingle_hashes(bytes(s.text(i)), shingle))
                     np.add.at(counts, _slot(h), 1)
                     fps.append(_set_node(h))
                     sims.append(majority(h))
+                    sizes.append(len(h))
+                    sketches.append(_sketch(h))
             n = len(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(n, bool)), batch.column(0), K.as_long(np.array(fps, np.uint64)),
-                 K.as_long(np.array(sims, np.uint64)), pa.nulls(n, pa.int64())], names)
+                 K.as_long(np.array(sims, np.uint64)), pa.array(sizes, pa.int64()),
+                 pa.array(sketches, pa.binary())], names)
         at = np.flatnonzero(counts)
         if of is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), of), pa.array(at),
-                 pa.nulls(len(at), pa.int64()), pa.array(counts[at])], names)
+                 pa.nulls(len(at), pa.int64()), pa.array(counts[at]),
+                 pa.nulls(len(at), pa.binary())], names)
 
     return picked.mapInArrow(
-        run, f"doc boolean, key {kind.simpleString()}, fp bigint, sim bigint, n bigint")
+        run, f"doc boolean, key {kind.simpleString()}, fp bigint, sim bigint, n bigint, sketch binary")
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """One bit per slot: whether an odd number of the shingles falls into it.
+
+    The slots are a power of two, two to four times the shingles, at least ``LEAST_BITS``.
+    """
+    bits = max(LEAST_BITS, 1 << (2 * len(h)).bit_length())
+    odd = np.bincount((K.mix(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Slots in which two sketches differ, the larger one folded to the other's size."""
+    x, y = sorted((x, y), key=len)
+    a, b, n = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(y)
+    while n > len(x):
+        n //= 2
+        b = (b >> 8 * n) ^ (b & ((1 << 8 * n) - 1))
+    return (a ^ b).bit_count()
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -227,57 +255,68 @@ def _candidates(salt: int | None, reach: int | None, similarity: float):
     return work
 
 
+def _among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``values`` (one column), and few others.
+
+    The hashes of the values are marked in a bitmap of fixed size, which is sent to the rows: a row
+    is never moved, however many values there are.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
+    one = F.lit(1).cast("bigint")
+    marks = (values.select(slot(F.col(values.columns[0])).alias("slot"))
+             .groupBy(F.shiftright("slot", 6).alias("word"))
+             .agg(F.bit_or(F.call_function("shiftleft", one, (F.col("slot") % 64).cast("int")))
+                  .alias("bits")))
+    return (rows.withColumn("slot", slot(F.col(column)))
+            .join(F.broadcast(marks), F.shiftright("slot", 6) == F.col("word"))
+            .where(F.getbit("bits", (F.col("slot") % 64).cast("int")) == 1).select(*rows.columns))
+
+
 def _shingle_sets(docs: DataFrame, key: str, text: str, keys: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles, sketch) of the documents with ``keys``: distinct hashes, ascending."""
+    """(fp, shingles) of the documents with ``keys``, and some others: distinct hashes, ascending."""
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    picked = picked.join(keys, F.col("key").eqNullSafe(F.col("of")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column(0)):
                 sets = [np.unique(shingle_hashes(bytes(s.text(i)), shingle)) for i in range(s.rows)]
                 values = np.concatenate([np.zeros(0, np.uint64), *sets])
-                sketches = [np.bincount((K.mix(h) % SKETCH).astype(np.int64), minlength=SKETCH)
-                            .astype("<u4").tobytes() for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [K.as_long(np.array([_set_node(x) for x in sets], np.uint64)),
-                     K.lists(K.as_long(values), np.array(list(map(len, sets)))),
-                     pa.array(sketches, pa.binary())], ["fp", "shingles", "sketch"])
+                     K.lists(K.as_long(values), np.array(list(map(len, sets))))], ["fp", "shingles"])
 
-    return (picked.mapInArrow(run, "fp bigint, shingles array<bigint>, sketch binary")
-            .groupBy("fp").agg(F.min("shingles").alias("shingles"), F.min("sketch").alias("sketch")))
+    return (_among(picked, "key", keys).select("text").mapInArrow(run, "fp bigint, shingles array<bigint>")
+            .groupBy("fp").agg(F.min("shingles").alias("shingles")))
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _bounded(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sketches allow the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4")
-                    .reshape(-1, SKETCH).astype(np.int64) for c in (4, 5))
-            most = np.minimum(x, y).sum(axis=1)
-            good = most >= similarity * (x.sum(axis=1) + y.sum(axis=1) - most) - 1e-6
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            differ = np.fromiter((_differ(x.as_py(), y.as_py()) for x, y in zip(
+                batch.column("x"), batch.column("y"))), np.int64, len(m))
+            least = np.maximum(differ, np.abs(m - n))    # shingles that only one of the sets has
+            good = m + n - least >= similarity * (m + n + least) - 1e-6
             yield batch.select(PAIR).filter(pa.array(good))
 
-    sketch = lambda c, x: sets.select(F.col("fp").alias(c), F.col("sketch").alias(x))
-    return (pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select(*PAIR, "x", "y")
-            .mapInArrow(run, PAIR_ROW))
+    few = _among(sketches, "fp", pairs.select(F.explode(F.array("a", "b"))))
+    of = lambda c, n, x: few.select(F.col("fp").alias(c), F.col("size").alias(n),
+                                    F.col("sketch").alias(x))
+    return (pairs.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b")
+            .select(*PAIR, "m", "n", "x", "y").mapInArrow(run, PAIR_ROW))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key: str, text: str, shingle: int,
+           similarity: float) -> DataFrame:
     """(ra, rb): the groups of the pairs whose shingle sets have the similarity.
 
-    Only the sets of pairs that the sketches let through are moved; where these are few, Spark
-    sends them to the sets.
+    Only the sets of pairs that the sketches let through are made.
     """
-    left = stage(_bounded(pairs, sets, similarity), "similar-pairs")
-
-    def needed(c: str, x: str) -> DataFrame:
-        return (sets.select(F.col("fp").alias(c), F.col("shingles").alias(x))
-                .join(left.select(c).distinct(), c, "left_semi"))
-
-    both = left.join(needed("a", "x"), "a").join(needed("b", "y"), "b")
+    left = stage(_bounded(stage(pairs, "similar-candidates"), sketches, similarity), "similar-pairs")
+    keys = _among(sketches, "fp", left.select(F.explode(F.array("a", "b")))).select("of")
+    sets = stage(_shingle_sets(docs, key, text, keys, shingle), "similar-sets")
+    both = (left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b"))
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("ra", "rb").distinct()
 
@@ -315,8 +354,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError("a similarity above 0 and at most 1")
     # of what the steps stage, the result reads the rows and the last groups alone
     with discarding(docs.sparkSession) as keep:
-        found = keep(stage(_set_rows(docs, key, text, shingle), "similar-rows"))
-        rows = found.where("doc").select("key", "fp")
+        found = stage(_set_rows(docs, key, text, shingle), "similar-found")
+        rows = keep(stage(found.where("doc").select("key", "fp"), "similar-rows"))
         # frequent shingles come last; the slots only decide the order, so any number of them is right
         rank = np.zeros(SLOTS, np.uint8)
         counts = found.where("not doc").groupBy("fp").agg(F.sum("n").alias("n")).toArrow()
@@ -326,17 +365,18 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                                  "k bigint, fp bigint, size int, left int"), "similar-index")
         # a set that shares none of its first shingles is similar to no other
         known = index.select("fp").distinct()
-        keys = (rows.join(known, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("of"))
-                .select("of").distinct())
-        sets = stage(_shingle_sets(docs, key, text, stage(keys, "similar-keys"), shingle), "similar-sets")
-        sims = found.where("doc").select("fp", "sim").distinct().join(known, "fp", "left_semi")
+        sketches = stage(found.where("doc").groupBy("fp").agg(
+            F.min("key").alias("of"), F.min("sim").alias("sim"), F.min("n").alias("size"),
+            F.min("sketch").alias("sketch")).join(known, "fp", "left_semi"), "similar-sketches")
         roots = known.select("fp", F.col("fp").alias("root"))
-        roots = _joined(roots, _alike(_signature_pairs(stage(sims, "similar-sims")), sets, similarity))
-        for salt, reach in ROUNDS:
+        for salt, reach in (SIGNATURES, *ROUNDS):
             with discarding(docs.sparkSession) as pass_on:
-                pairs = _by_bucket(index.join(roots, "fp"), [*names, "root"],
-                                   _candidates(salt, reach, similarity), PAIR_ROW)
-                roots = pass_on(_joined(roots, _alike(pairs.distinct(), sets, similarity)))
+                if (salt, reach) == SIGNATURES:
+                    pairs = _signature_pairs(sketches.select("fp", "sim"))
+                else:
+                    pairs = _by_bucket(index.join(roots, "fp"), [*names, "root"],
+                                       _candidates(salt, reach, similarity), PAIR_ROW).distinct()
+                roots = pass_on(_joined(roots, _alike(pairs, sketches, docs, key, text, shingle, similarity)))
         keep(roots)
     return by_root(rows, roots.withColumnRenamed("fp", "node"), key)
 
@@ -353,11 +393,12 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``docs`` whose key is a component of ``found`` (key, component)."""
+    # a struct of the key is never null, so the join and the window share one exchange
     named, place = fresh(docs.columns, "named", "place")
     keep = (found.where(F.col(key).eqNullSafe(F.col("component")))
-            .select(F.col(key).alias(named)).distinct())
-    first = (Window.partitionBy(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")))
+            .select(F.struct(F.col(key).alias("of")).alias(named)).distinct())
+    first = (Window.partitionBy(named, F.xxhash64(F.col(f"`{text}`")))
              .orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return (docs.join(keep, F.col(f"`{key}`").eqNullSafe(F.col(named)), "left_semi")
+    return (docs.withColumn(named, F.struct(F.col(f"`{key}`").alias("of"))).join(keep, named, "left_semi")
             .withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

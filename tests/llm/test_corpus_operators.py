@@ -645,6 +645,37 @@ def test_similar_documents_leave_only_what_the_result_reads(spark):
     assert {r.doc_id: r.component for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_near_dedup_moves_few_sets(spark):
+    """Round 3: every text and every shingle set was moved for a few pairs, in each round again."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 3000, 300)] + [(None,)], "of long")
+    few = similar_sets._among(docs, "doc_id", wanted)
+    assert {r.doc_id for r in few.collect()} == set(range(0, 3000, 300)) and few.columns == docs.columns
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "strategy=broadcast" in plan
+    rng = np.random.default_rng(5)
+    for n, new in ((3, 1), (700, 40), (700, 700), (5000, 900)):
+        x = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        y = np.concatenate([x[new:], rng.integers(1 << 62, 1 << 63, new + n // 9).astype(np.uint64)])
+        far = similar_sets._differ(similar_sets._sketch(x), similar_sets._sketch(y))
+        apart = 2 * new + n // 9
+        assert far <= apart and far % 2 == apart % 2      # never more than the sets differ
+        assert far >= 0.5 * apart or n == 5000
+
+
+def test_keep_one_moves_texts_once(spark):
+    """Round 3: the join on the key and the window behind it moved every text."""
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None), (1, "c"), (1, "c"), (1, "d"), (2, "e")],
+                                 "doc_id long, text string")
+    found = spark.createDataFrame([(None, None), (1, 1), (2, 1)], "doc_id long, component long")
+    one = similar_sets.keep_one(docs, found.hint("merge"), "doc_id", "text")
+    assert bag(one.collect()) == bag([(None, "a b"), (None, None), (1, "c"), (1, "d")])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0:]
+    assert "Window" in plan and "SortMergeJoin" in plan
+    assert plan[plan.index("Window"):plan.index("SortMergeJoin")].count("Exchange") == 0
+
+
 def test_discarding_keeps_what_is_passed_on(spark):
     from barloom.sources.staging import discarding
     with discarding(spark) as keep:
