@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import (decontamination, packing, pairwise_quality, quality_rules, secret_scan,
+from barloom.llm import (decontamination, packing, pairwise_quality, quality_rules, queries, secret_scan,
                          similar_sets, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity)
 from barloom.llm.suffix_sort import Suffixes
 from barloom.llm.tokens import Encoder
@@ -117,6 +117,22 @@ def test_suffix_dedup(docs, rows, hot):
     assert bag((*r[:4], bytes(r[4])) for r in got) == bag(want)
 
 
+def test_suffix_query_keeps_to_400_bytes(spark, tmp_path):
+    """Round 3: a passage of over 50 words goes, the first one too, if it has 400 bytes; n_bytes is the whole text's."""
+    short = " ".join(f"w{i:05d}" for i in range(57)) + "!"      # 57 words
+    long = " ".join(f"v{i:05d}" for i in range(57)) + "!!"
+    assert (len(short), len(long)) == (399, 400)
+    texts = ["a" + short + "b", "c" + short + "d", "e" + long + "f", "g" + long + "h",
+             "é" + long[::-1] + "i" + long[::-1] + "j", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert bag(got) == bag([
+        (0, 401, 0, 0, sha(texts[0])), (1, 401, 0, 0, sha(texts[1])), (2, 402, 400, 1, sha("ef")),
+        (3, 402, 400, 1, sha("gh")), (4, 804, 800, 2, sha("éij")), (5, 0, 0, 0, sha(""))])
+
+
 def test_suffix_order_survives_collisions(monkeypatch):
     rng = random.Random(5)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(90)]
