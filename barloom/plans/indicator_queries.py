@@ -13,9 +13,8 @@ from .scans import FACTOR_SQL
 
 
 def _indicators(spark, sf, wanted: dict, digits: int = 5):
-    out = with_indicators(base.bars(spark, sf), wanted)
-    cols = [c for a, (n, _) in wanted.items() for c in output_columns(a, n)]
-    return rounded(out.select("code", "date", *cols), digits, *cols)
+    out = with_indicators(base.bars(spark, sf), wanted, digits)
+    return out.select("code", "date", *[c for a, (n, _) in wanted.items() for c in output_columns(a, n)])
 
 
 _W = "WINDOW w AS (PARTITION BY code ORDER BY date)"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import predicates as P
-from barloom.functions.indicators import (Ewm, REGISTRY, halted_free, spec_list, with_ewm,
+from barloom.functions.indicators import (Ewm, Indicator, REGISTRY, halted_free, spec_list, with_ewm,
                                           with_indicators)
 from barloom.operators import adjust as A
 from barloom.sources.bars import halted
@@ -168,3 +168,109 @@ def test_recursive_means_keep_small_fold_states(spark):
             w, known = 1.0, known + 1
         want.append(y if known >= 3 else None)
     assert got == want
+
+
+ALL = {"sma": ("SMA", {"period": 3}), "ema": ("EMA", {"period": 4, "source": "hl2"}), "wma": ("WMA", {"period": 5}),
+       "bb": ("BBANDS", {"period": 4}), "rsi": ("RSI", {"period": 3}),
+       "macd": ("MACD", {"fast": 2, "slow": 5, "signal": 3}), "st": ("STOCH", {"k": 4, "d": 2}),
+       "st1": ("STOCH", {"k": 3, "smooth": 1}), "atr": ("ATR", {"period": 3}), "adx": ("ADX", {"period": 3}),
+       "cci": ("CCI", {"period": 4}), "obv": ("OBV", {}), "vwap": ("VWAP", {}),
+       "vwm": ("VWAP", {"anchor": "month"}), "vww": ("VWAP", {"anchor": "week"}),
+       "env": ("ENVELOPE", {"period": 4, "source": "volume"}), "hi": ("HIGHEST", {"period": 6}),
+       "lo": ("LOWEST", {"period": 7, "source": "low"}), "dc": ("DONCHIAN", {"period": 5})}
+
+
+def _rough_bars(spark, halts: bool):
+    """Symbols of 1 to 150 bars with flat stretches; with ``halts`` also unknown prices and dates, NaN,
+    zero prices and a symbol without a code."""
+    rng, rows = np.random.default_rng(3), []
+    for k, n in enumerate([1, 2, 40, 150, 7, 90, 3, 64]):
+        close = np.round(1000 + np.cumsum(rng.integers(-3, 4, n)) * 0.01, 2)
+        for i in range(n):
+            c = float(close[i])
+            o, h, l, v = c + 0.01, c + float(rng.integers(0, 3)) / 100, c - float(rng.integers(0, 3)) / 100, float(rng.integers(0, 5))
+            if i % 50 > 35:
+                o = h = l = c = 1000.0
+            if halts and rng.random() < 0.15:
+                o, h, l, c, v = [(None, h, l, c, v), (o, h, l, None, v), (0.0, 0.0, 0.0, c, 0.0),
+                                 (o, None, l, c, None), (o, h, None, c, float("nan"))][rng.integers(0, 5)]
+            if halts and k == 5 and i == 60:
+                c = float("nan")
+            day = None if halts and i == 0 and k % 2 else dt.date(2024, 1, 1) + dt.timedelta(days=i)
+            rows.append((None if halts and k == 3 else f"{k:06d}", day, o, h, l, c, v, i))
+    rng.shuffle(rows)
+    return spark.createDataFrame([tuple(r) for r in rows], "code string, date date, open double, high double, "
+                                 "low double, close double, volume double, i int").repartition(3)
+
+
+def _sorted(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("halts", [False, True])
+def test_series_equal_the_column_forms(spark, monkeypatch, halts):
+    """Bit for bit, also where symbols meet the end of a portion of rows."""
+    from barloom.functions import indicators as I
+    from barloom.functions import series
+
+    bars = _rough_bars(spark, halts).cache()
+    want = _sorted(I._by_columns(bars, {a: (REGISTRY[n], {**REGISTRY[n].params, **p}) for a, (n, p) in ALL.items()}))
+    for rows in (series._ROWS, 20):
+        monkeypatch.setattr(series, "_ROWS", rows)
+        with monkeypatch.context() as m:
+            m.setattr(I, "_by_columns", None)
+            out = with_indicators(bars, ALL)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000 if rows > 20 else 8)
+        try:
+            assert _sorted(out) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_all_indicators_take_one_pass_over_sorted_bars(make_bars):
+    """Not an array of all bars per symbol and three rounds of windows and sorts."""
+    from barloom.plans.indicator_queries import ALL_INDICATORS
+
+    out = with_indicators(make_bars({"000010": [(1, 2, 1, 2)] * 5}), ALL_INDICATORS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("Exchange hashpartitioning", "+- Sort", "MapInArrow", "collect_list", "Window")] \
+        == [1, 1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("digits", [0, 2, 5])
+def test_digits_are_those_of_round(spark, digits):
+    xs = [0.5, 1.5, 2.5, -0.5, 0.125, 1.005, 2.675, -0.001, 1e-9, 1050.000525, 1050.0005250000001, 0.285, 1e12 + 0.125,
+          -1e300, float("nan"), float("inf"), None, 1.0000050000000001, 999.999995, 2.5e-6, 12345.678915, -7.0, 0.0]
+    rng = np.random.default_rng(5)
+    xs += [*(rng.integers(-10 ** 9, 10 ** 9, 400) / 2000 * 1.05), *rng.normal(0, 1e4, 400)]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(len(xs))]
+    bars = spark.createDataFrame([("a", d, None if x is None else float(x)) for d, x in zip(days, xs)],
+                                 "code string, date date, close double")
+    # the first mean of a symbol is its value
+    bars = bars.withColumn("code", F.date_format("date", "yyyyMMdd"))
+    got = with_indicators(bars, {"x": ("EMA", {"period": 1})}, digits).withColumn("y", F.round("close", digits))
+    rows = got.collect()
+    assert len(rows) == len(xs) and [repr(r.x) for r in rows] == [repr(r.y) for r in rows]
+    assert sum(r.x is None for r in rows) == 1
+
+
+def test_series_take_other_codes_inputs_and_indicators(spark, make_bars, monkeypatch):
+    path = [(c, c + 1, c - 1, c) for c in (10.0, 11.0, 9.0, 12.0, 13.0, 12.0)]
+    bars = make_bars({"000010": path, "000020": path[::-1]}, halted={("000010", 1)})
+    wanted = {"e": ("EMA", {"period": 2}), "h": ("HIGHEST", {"period": 2})}
+    out = halted_free(bars, wanted)   # its code is a struct
+    live = {(r.code, r.date): (r.e, r.h) for r in with_indicators(bars.where("NOT halted"), wanted).collect()}
+    rows = out.collect()
+    assert sum(r.halted for r in rows) == 1
+    assert all((r.e, r.h) == ((None, None) if r.halted else live[r.code, r.date]) for r in rows)
+    # whole numbers keep the types of the column forms
+    whole = bars.withColumns({c: F.col(c).cast("bigint") for c in ("high", "low", "close", "volume")})
+    both = with_indicators(whole, {**wanted, "o": ("OBV", {})})
+    assert dict(both.dtypes)["h"] == "bigint" and dict(both.dtypes)["e"] == "double"
+    same = with_indicators(bars, wanted)
+    assert sorted((r.code, r.date, r.e) for r in both.collect() if r.e) == sorted(
+        (r.code, r.date, r.e) for r in same.collect() if r.e)
+    # an indicator that was added has its column form alone
+    monkeypatch.setitem(REGISTRY, "TWICE", Indicator({}, (), lambda a, p: [{a: F.col("close") * 2.0}]))
+    mixed = with_indicators(bars, {"t": ("TWICE", {}), **wanted}, 1)
+    assert mixed.columns[-3:] == ["t", "e", "h"] and all(r.t == 2 * r.close for r in mixed.collect())
